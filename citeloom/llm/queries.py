@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, media, packing, topk, warc
+from citeloom.llm import langid, media, packing, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, is_query=vectors["vec_id"] % topk.QUERY_EVERY == 0)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
+    "op2_sharding": op2_sharding,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
@@ -45,6 +50,47 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": """
+        WITH k AS (  -- the table of CRC-32, by its polynomial
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda j: CAST(j AS BIGINT))),
+                lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS k
+        ), d AS (
+            SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '')) AS g, coalesce(text, '') AS t FROM documents
+        ), g AS (
+            SELECT g, sum(size) AS bytes FROM d GROUP BY g
+        ), p AS (
+            SELECT g, bytes, CAST(sum(bytes) OVER (ORDER BY g) AS BIGINT) AS e FROM g
+        ), a AS (
+            SELECT list(e ORDER BY e) AS ends, max(e) AS total, CAST(max(bytes) AS BIGINT) AS most, (max(e) + 15) // 16 AS mean FROM p
+        ), c AS (
+            SELECT ends, total, list_reduce(
+                list_prepend({'lo': greatest(mean, most), 'hi': mean + most}, list_transform(range(48), lambda i: {'lo': CAST(i AS BIGINT), 'hi': CAST(i AS BIGINT)})),
+                lambda s, i: CASE WHEN s.lo >= s.hi THEN s
+                    WHEN list_reduce(list_prepend(CAST(0 AS BIGINT), range(16)), lambda pos, k: coalesce(list_max(list_filter(ends, lambda e: e <= pos + (s.lo + s.hi) // 2)), 0)) >= total
+                    THEN {'lo': s.lo, 'hi': (s.lo + s.hi) // 2} ELSE {'lo': (s.lo + s.hi) // 2 + 1, 'hi': s.hi} END).hi AS cap
+            FROM a
+        ), n AS (
+            SELECT *, list_transform(range(16), lambda j: list_reduce(list_prepend(total, range(j)),
+                lambda pos, k: CASE WHEN pos - cap <= 0 THEN 0 ELSE list_min(list_filter(ends, lambda e: e >= pos - cap)) END)) AS needed
+            FROM c
+        ), s AS (
+            SELECT list_transform(range(1, 16), lambda j: list_reduce(list_prepend(CAST(0 AS BIGINT), range(1, j + 1)), lambda pos, k: greatest(needed[17 - k], least(
+                coalesce(list_max(list_filter(ends, lambda e: e <= pos + cap)), 0),
+                CASE WHEN coalesce(list_max(list_filter(ends, lambda e: e <= pos + (total - pos + 16 - k) // (17 - k))), 0) <= pos
+                     THEN list_min(list_filter(ends, lambda e: e >= least(pos + 1, total)))
+                     ELSE list_max(list_filter(ends, lambda e: e <= pos + (total - pos + 16 - k) // (17 - k))) END)))) AS cuts
+            FROM n
+        ), r AS (
+            SELECT d.*, CAST(len(list_filter(s.cuts, lambda x: x <= p.e - p.bytes)) AS INT) AS shard
+            FROM d JOIN p USING (g), s
+        )
+        SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                   list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                   lambda v, b: xor(v >> 8, k.k[(xor(v, b) & 255) + 1]))) AS text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY substr(g, 1, 3), doc_id % 64, doc_id, g) - 1 AS slot,
+               CAST(NULL AS INT) AS grown_shard
+        FROM r, k
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
