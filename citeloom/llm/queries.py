@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, media, packing, sharding, topk, warc
+from citeloom.llm import langid, media, neardup, packing, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
@@ -47,9 +51,33 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
     "op9_topk": op9_topk,
+    "op10_minmax": op10_minmax,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_minmax": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s
+            FROM w
+        ), n AS (
+            SELECT w.doc_id, count(s.s) AS n_shingles FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+        ), i AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), e AS (
+            SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b
+            WHERE 100 * i.i >= 85 * (x.n_shingles + y.n_shingles - i.i)
+        ), u AS (
+            SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+        ), r(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.seen
+        )
+        SELECT n.doc_id, n.n_shingles, min(r.seen) AS component_id, min(r.seen) = n.doc_id AS kept
+        FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+    """,
     "op2_sharding": """
         WITH k AS (  -- the table of CRC-32, by its polynomial
             SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda j: CAST(j AS BIGINT))),
