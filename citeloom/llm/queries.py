@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, media, neardup, packing, sharding, topk, warc
+from citeloom.llm import langid, linededup, media, neardup, packing, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,17 +44,42 @@ def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
+    "op8_lines": op8_lines,
     "op9_topk": op9_topk,
     "op10_minmax": op10_minmax,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_lines": r"""
+        WITH l AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), e AS (
+            SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS value FROM l
+        ), f AS (
+            SELECT value, min({'doc': doc_id, 'line': line}) AS place FROM e WHERE length(trim(value, ' ')) > 0 GROUP BY value
+        ), near AS (
+            SELECT DISTINCT a.value FROM f a JOIN f b ON b.place < a.place AND length(a.value) >= 20 AND length(b.value) >= 20
+                AND length(b.value) BETWEEN length(a.value) - 1 AND length(a.value) + 1
+                AND (left(a.value, length(a.value) // 2 - 1) = left(b.value, length(a.value) // 2 - 1) OR right(a.value, length(a.value) // 2 - 1) = right(b.value, length(a.value) // 2 - 1))
+            WHERE levenshtein(a.value, b.value) <= 1
+        ), k AS (
+            SELECT e.*, f.value IS NULL OR (f.place = {'doc': e.doc_id, 'line': e.line} AND n.value IS NULL) AS stays
+            FROM e LEFT JOIN f ON f.value = e.value LEFT JOIN near n ON n.value = e.value
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_gone,
+               sha256(coalesce(string_agg(value, chr(10) ORDER BY line) FILTER (WHERE stays), '')) AS text_sha256
+        FROM k GROUP BY doc_id
+    """,
     "op10_minmax": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
