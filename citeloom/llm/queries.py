@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, linededup, media, neardup, packing, sharding, topk, warc
+from citeloom.llm import langid, linededup, media, neardup, packing, pii, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +48,16 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_lines": op8_lines,
     "op9_topk": op9_topk,
