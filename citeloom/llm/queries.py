@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, linededup, media, neardup, packing, pii, sharding, topk, warc
+from citeloom.llm import langid, linededup, media, neardup, packing, pii, sentencepieces, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.piece_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
+    "op3_pieces": op3_pieces,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
