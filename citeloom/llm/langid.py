@@ -166,8 +166,11 @@ def fit(documents: DataFrame) -> Model | None:
     bytes are taken, those with the smallest hash of their id.
     """
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, SAMPLE_BYTES)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "text").collect()
+    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumn("hash", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    ids = rows.select("lang", "doc_id", "hash").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "doc_id", "hash").distinct()
+    found = rows.join(F.broadcast(ids), ["lang", "doc_id", "hash"])  # SAMPLE_DOCS rows a language
+    rows = found.groupBy("lang", "doc_id", "hash").agg(F.first("text").alias("text")).select("lang", "text").collect()
     samples: dict[str, list[str]] = {}
     for lang, text in rows:
         samples.setdefault(lang, []).append(text)
