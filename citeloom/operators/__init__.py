@@ -1 +1 @@
-
+"""Operators over DataFrames: ranking, linking, gating, evaluation, validation, answers."""

@@ -1 +1 @@
-
+"""Named queries over the test tables, each with its SQL counterpart where SQL can say it."""

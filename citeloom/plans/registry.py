@@ -1,10 +1,6 @@
 """All registered queries of the retrieval engine and their SQL counterparts."""
 
-from __future__ import annotations
+from citeloom.plans import corpus, evaluation, linking, ranking, relational, storage  # noqa: F401
+from citeloom.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
