@@ -13,8 +13,9 @@ itself (an insertion).  Both kinds join their earliest member, and the edit
 distance of each such pair is verified.
 
 Variants are built inside windows of WINDOW characters, between hashes of what
-is before and after the window, so that a line of n characters costs about
-n * WINDOW and not n * n.
+is before and after the window, and only in windows around which some other
+line is the same: no other window can hold the edit.  So a line of n characters
+emits n / WINDOW keys and a few windows' variants, not n variants of n characters.
 """
 
 from __future__ import annotations
@@ -76,20 +77,33 @@ def _with_text(places: DataFrame, documents: DataFrame) -> DataFrame:
     return found.select(one, F.element_at("lines", F.col("line") + 1).alias("value")).dropDuplicates(["place"])
 
 
+def _windows(lines: DataFrame) -> DataFrame:
+    """Every window of every line: what is before it, and what is after it if it has WINDOW characters (rest) or one more (wide_rest), as hashes."""
+    value, at = F.col("value"), F.col("w") * WINDOW
+    cut = lines.select("place", "value", F.explode(F.sequence(F.lit(0), F.floor((F.length("value") - 1) / WINDOW).cast("int"))).alias("w"))
+    before, wide = F.substr(value, F.lit(1), at), F.substr(value, at + 1, F.lit(WINDOW + 1))
+    around = [F.xxhash64("w", before, F.substr(value, at + k + WINDOW)) for k in (1, 2)]
+    return cut.select("place", "w", wide.alias("wide"), around[0].alias("short"), around[1].alias("long"))
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """place, spot and variant: spot 0 is the line itself, cut by window; others are the deleted character's position."""
-    n, value = F.length("value"), F.col("value")
-    cut = lines.select("place", "value", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / WINDOW).cast("int"))).alias("w"))
-    at = F.col("w") * WINDOW
-    before, own, wide = F.substr(value, F.lit(1), at), F.substr(value, at + 1, F.lit(WINDOW)), F.substr(value, at + 1, F.lit(WINDOW + 1))
-    rest, wide_rest = F.substr(value, at + 1 + WINDOW), F.substr(value, at + 2 + WINDOW)
-    cut = cut.select("place", "w", F.xxhash64("w", before).alias("before"), own.alias("own"), wide.alias("wide"), F.xxhash64(rest).alias("rest"), F.xxhash64(wide_rest).alias("wide_rest"))
-    gone = F.transform(
+    """place, spot and variant: spot 0 is the line itself in one window; others are the deleted character's position.
+
+    Only windows around which another line is the same emit any.
+    """
+    cut = written(_windows(lines), "windows")
+    seen = cut.groupBy(F.col("long").alias("around")).agg(F.count("*").alias("longs")).join(cut.groupBy(F.col("short").alias("around")).agg(F.count("*").alias("shorts")), "around", "left")
+    seen = seen.filter("longs > 1 OR shorts > 0").select("around", "shorts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    seen = written(seen, "around")
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)))
+    gone = cut.join(seen.select(F.col("around").alias("long"), "salt"), ["long", "salt"], "left_semi")
+    spots = F.transform(
         F.sequence(F.lit(1), F.length("wide")),
-        lambda p: F.struct((F.col("w") * WINDOW + p).alias("spot"), F.xxhash64("before", "wide_rest", F.concat(F.substr("wide", F.lit(1), p - 1), F.substr("wide", p + 1))).alias("variant")),
+        lambda p: F.struct((F.col("w") * WINDOW + p).alias("spot"), F.xxhash64("long", F.concat(F.substr("wide", F.lit(1), p - 1), F.substr("wide", p + 1))).alias("variant")),
     )
-    itself = F.array(F.struct(F.lit(0).alias("spot"), F.xxhash64("before", "rest", "own").alias("variant")))
-    return cut.select("place", F.explode(F.concat(itself, gone)).alias("v")).select("place", "v.spot", "v.variant")
+    gone = gone.select("place", F.explode(spots).alias("v")).select("place", "v.spot", "v.variant")
+    itself = cut.join(seen.filter("shorts > 0").select(F.col("around").alias("short"), "salt"), ["short", "salt"], "left_semi")
+    return gone.union(itself.select("place", F.lit(0), F.xxhash64("short", F.substr("wide", F.lit(1), F.lit(WINDOW)))))
 
 
 def _nearest(variants: DataFrame) -> DataFrame:
