@@ -8,9 +8,11 @@ full shingle sets.
 Documents with equal sets form a class, and only classes are compared.  In a
 band's bucket each class is first compared with the bucket's smallest one; the
 components that these links make leave few buckets with members that are still
-apart, and only pairs across components in those are compared as well.  So a
-group of copies costs as many comparisons as members, and no link between
-components is lost.
+apart.  Pairs across components in those, with enough equal bands for the
+similarity, make clusters of components (each task gives a spanning forest);
+inside a cluster such pairs are confirmed, likeliest first, until they are
+joined.  Tasks compare blocks of bounded size and give no more rows than
+members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import shingles
@@ -29,8 +31,8 @@ from citeloom.llm.storage import written
 
 #: Values of a band, bands: BANDS * ROWS / 2 permutations.
 ROWS, BANDS = 5, 40
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members of a bucket, and of a cluster with their sets, that one task compares with as many others.
+BLOCK, SET_BLOCK = 2048, 512
 SALTS = 16
 #: Chance that a true link has fewer equal bands than are asked for across components.
 MISS = 1e-6
@@ -104,11 +106,7 @@ def _confirmed(percent: int):
         for batch in batches:
             linked = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.concatenate((p, q))
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                linked.append(100 * common >= percent * (len(p) + len(q) - common))
+                linked.append(_similar(x, y, percent))
             yield batch.loc[linked, ["a", "b"]]
 
     return run
@@ -120,27 +118,121 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "links")
 
 
-def _across(percent: int):
-    """Candidate pairs of two blocks of a bucket: of different components, of sizes that allow a
-    link, with enough equal bands, in the bucket of their first equal band."""
+def _grouped(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
+    """``make(pdf)`` for each group of ``keys``, from sorted partitions: a group costs no task of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            cells = batch[keys].to_numpy()
+            edges = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
+            if rest and (rest[-1][keys].to_numpy()[-1] != cells[0]).any():
+                edges = np.concatenate(([0], edges))
+            out, at = [], 0
+            for e in edges:
+                rest.append(batch.iloc[at:e])
+                if sum(map(len, rest)) > 1:
+                    out += make(pd.concat(rest) if len(rest) > 1 else rest[0])
+                rest, at = [], e
+            rest.append(batch.iloc[at:])
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if rest:
+            yield pd.DataFrame(make(pd.concat(rest)), columns=["a", "b"], dtype=np.int64)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _near(pdf: pd.DataFrame, percent: int, enough: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides of a pair of blocks, and the pairs of rows (x, y) of different parts, of sizes
+    that allow a link and with enough equal bands (their number comes last)."""
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left = pdf[pdf["mine"].to_numpy() == i]
+    right = left if i == j else pdf[pdf["mine"].to_numpy() == j]
+    if not len(left) or not len(right) or (left["part"].nunique() == 1 and set(left["part"]) == set(right["part"])):
+        none = np.zeros(0, np.int64)
+        return left, right, none, none, none
+    (p, q), (m, n) = ((side[c].to_numpy() for side in (left, right)) for c in ("part", "n_shingles"))
+    ok = (p[:, None] != q) & (100 * np.minimum(m[:, None], n) >= percent * np.maximum(m[:, None], n))
+    if i == j:
+        ok &= np.tri(len(p), k=-1, dtype=bool).T
+    x, y = np.nonzero(ok)
+    mine, yours = (np.stack(side["bands"].to_list()) for side in (left, right))
+    equal = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1 << 16):
+        equal[at : at + (1 << 16)] = (mine[x[at : at + (1 << 16)]] == yours[y[at : at + (1 << 16)]]).sum(axis=1)
+    keep = equal >= enough
+    return left, right, x[keep], y[keep], equal[keep]
+
+
+def _forest(percent: int):
+    """Edges (part, least part reachable) over the candidate pairs of two blocks of a bucket: as many as parts at most."""
     enough = least_bands(percent)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        key, i, j = int(block["key"].iloc[0]), int(block["i"].iloc[0]), int(block["j"].iloc[0])
-        sides = [block[block["mine"] == m] for m in ((i, j) if i != j else (i,))]
-        left, right = sides[0], sides[-1]
-        node, part, size = (right[c].to_numpy() for c in ("node", "part", "n_shingles"))
-        bands = np.array(right["bands"].tolist(), np.int64).reshape(len(right), BANDS)
-        out = []
-        for a, p, n, own in zip(left["node"], left["part"], left["n_shingles"], left["bands"], strict=True):
-            near = np.flatnonzero((part != p) & ((node > a) if i == j else True) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
-            if len(near):
-                equal = bands[near] == np.asarray(own)
-                ok = (equal.sum(axis=1) >= enough) & (bands[near, equal.argmax(axis=1)] == key)
-                out += [(a, b) for b in node[near[ok]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    def make(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        left, right, x, y, _ = _near(pdf, percent, enough)
+        if not len(x):
+            return []
+        p, q = left["part"].to_numpy()[x], right["part"].to_numpy()[y]
+        names, where = np.unique(np.concatenate((p, q)), return_inverse=True)
+        a, b = where[: len(p)], where[len(p) :]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            fresh = label.copy()
+            np.minimum.at(fresh, a, low)
+            np.minimum.at(fresh, b, low)
+            fresh = fresh[fresh]
+            if (fresh == label).all():
+                return [(int(names[k]), int(names[v])) for k, v in enumerate(label) if v != k]
+            label = fresh
+
+    return make
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    merged = np.concatenate((p, q))
+    merged.sort(kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _joining(percent: int):
+    """Confirmed links between parts of two blocks of a cluster, likeliest pairs first; a pair whose
+    parts are joined by then adds nothing and is passed over."""
+    enough = least_bands(percent)
 
-    return run
+    def make(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        left, right, x, y, equal = _near(pdf, percent, enough)
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        p, q = left["part"].to_list(), right["part"].to_list()
+        cells, others = left["cells"].to_list(), right["cells"].to_list()
+        a, b, out = left["node"].to_list(), right["node"].to_list(), []
+        for k in np.argsort(-equal, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            one, two = find(p[i]), find(q[j])
+            if one != two and _similar(cells[i], others[j], percent):
+                root[one] = two
+                out.append((a[i], b[j]))
+        return out
+
+    return make
+
+
+def _blocks(df: DataFrame, key: str, size: int, n: Column) -> DataFrame:
+    """``df`` with mine, i and j: each row goes to every pair of blocks of its group that has its own block."""
+    count = F.ceil(n / F.lit(size)).cast("int")
+    df = df.withColumn("mine", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return df.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
 
 
 def classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -168,12 +260,14 @@ def classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     parts = components(first)
     placed = members.join(parts, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("part"))
     apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rest = placed.join(apart, "key").join(nodes.select("node", "n_shingles", "bands"), "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "members")
-    across = written(rest.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long"), "across")
-    links = first.union(_linked(across.distinct(), sets, percent))
+    banded = placed.join(apart, "key").join(nodes.select("node", "n_shingles", "bands"), "node")
+    forest = written(_grouped(_blocks(banded, "key", BLOCK, F.col("members")).drop("members"), ["key", "i", "j"], _forest(percent), "a long, b long"), "forest")
+    clusters = components(forest).select(F.col("node").alias("part"), F.col("label").alias("cluster"))
+    inside = written(placed.select("node", "part").distinct().join(clusters, "part"), "clusters")
+    count = inside.groupBy("cluster").agg(F.count("*").alias("members"))
+    whole = inside.join(count, "cluster").join(nodes.select("node", "n_shingles", "bands"), "node").join(sets, "node")
+    more = _grouped(_blocks(whole, "cluster", SET_BLOCK, F.col("members")).drop("members"), ["cluster", "i", "j"], _joining(percent), "a long, b long")
+    links = first.union(written(more, "links"))
     final = components(links)
     labelled = nodes.select("node", "rep", "h1", "h2", "n").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
