@@ -1 +1 @@
-
+"""Resumable ingestion with Structured Streaming."""
