@@ -153,7 +153,7 @@ def _near(pdf: pd.DataFrame, percent: int, enough: int) -> tuple[pd.DataFrame, p
     if not len(left) or not len(right) or (left["part"].nunique() == 1 and set(left["part"]) == set(right["part"])):
         none = np.zeros(0, np.int64)
         return left, right, none, none, none
-    (p, q), (m, n) = ((side[c].to_numpy() for side in (left, right)) for c in ("part", "n_shingles"))
+    p, q, m, n = (side[c].to_numpy() for c in ("part", "n_shingles") for side in (left, right))
     ok = (p[:, None] != q) & (100 * np.minimum(m[:, None], n) >= percent * np.maximum(m[:, None], n))
     if i == j:
         ok &= np.tri(len(p), k=-1, dtype=bool).T
