@@ -157,11 +157,16 @@ def _near(pdf: pd.DataFrame, percent: int, enough: int) -> tuple[pd.DataFrame, p
     ok = (p[:, None] != q) & (100 * np.minimum(m[:, None], n) >= percent * np.maximum(m[:, None], n))
     if i == j:
         ok &= np.tri(len(p), k=-1, dtype=bool).T
-    x, y = np.nonzero(ok)
     mine, yours = (np.stack(side["bands"].to_list()) for side in (left, right))
-    equal = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), 1 << 16):
-        equal[at : at + (1 << 16)] = (mine[x[at : at + (1 << 16)]] == yours[y[at : at + (1 << 16)]]).sum(axis=1)
+    if ok.size > 4096:
+        matrix = np.zeros(ok.shape, np.int8)
+        for k in range(mine.shape[1]):
+            matrix += mine[:, k, None] == yours[:, k]
+        x, y = np.nonzero(ok & (matrix >= enough))
+        equal = matrix[x, y]
+    else:
+        x, y = np.nonzero(ok)
+        equal = (mine[x] == yours[y]).sum(axis=1)
     keep = equal >= enough
     return left, right, x[keep], y[keep], equal[keep]
 
