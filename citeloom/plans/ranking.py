@@ -229,7 +229,7 @@ def watch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WATCH_SQL} SELECT r.query_id, r.doc_id, r.rank, b.rank - r.rank AS from_bm25, d.rank - r.rank AS from_dense, p.rank - r.rank AS from_hybrid
     FROM r20 r JOIN pool p USING (query_id, doc_id) LEFT JOIN d20 d USING (query_id, doc_id) LEFT JOIN b20 b USING (query_id, doc_id)""")
 def rank_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = watch_ranks(spark, sf_dir)
+    at = watch_ranks(spark, sf_dir).filter("final_rank IS NOT NULL")
     moves = {"from_bm25": "sparse_rank", "from_dense": "dense_rank", "from_hybrid": "fused_rank"}
     return at.select("query_id", "doc_id", F.col("final_rank").alias("rank"), *((F.col(c) - F.col("final_rank")).alias(name) for name, c in moves.items()))
 
