@@ -40,6 +40,19 @@ def furniture_signatures(lines: DataFrame, share: float = 0.3, depth: int = 2) -
     return by.join(every, "source").filter(F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("all") * share))).select("source", "slot", "signature", "pages")
 
 
+def furniture_lines(lines: DataFrame, share: float = 0.3, depth: int = 2) -> DataFrame:
+    """(page, line_no) of furniture: edge lines with a qualifying signature, and bare numbers within a line more."""
+    own = lines.filter(F.length(F.trim("line")) > 0).withColumn("signature", digit_signature(F.col("line")))
+    known = furniture_signatures(lines, share, depth).select("source", "signature").distinct().withColumn("known", F.lit(True))
+
+    def edge(k: int) -> Column:
+        return (F.col("line_no") <= k) | (F.col("n") - F.col("line_no") < k)
+
+    found = own.filter(edge(depth + 1)).join(known, ["source", "signature"], "left")
+    bare = F.rlike(F.trim("line"), F.lit("^[0-9]+$"))
+    return found.filter((edge(depth) & F.col("known").isNotNull()) | bare).select("page", "line_no")
+
+
 def award_furniture(lines: DataFrame, share: float = 0.5, depth: int = 3) -> DataFrame:
     """source, shape, n: edge line shapes on at least max(3, share * pages) pages of documents of three pages or more."""
     edge = lines.filter((F.length(F.trim("line")) > 0) & ((F.col("line_no") <= depth) | (F.col("n") - F.col("line_no") < depth)))

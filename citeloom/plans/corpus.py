@@ -176,3 +176,25 @@ def notes_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = rows.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("note"), F.col("section").alias("wanted"))
     chunk = rows.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("chunk"), "section")
     return narrowed(notes.join(chunk, "user_id"), "note", F.col("wanted") == F.col("section")).select("note", "chunk")
+
+
+@query(f"""WITH {LINES_SQL}, e AS (SELECT source, page, line_no, n, {SIGNATURE_SQL} AS sig, line FROM line WHERE length(trim(line)) > 0), s AS (
+        SELECT source, page, 'top' || (line_no - 1) AS slot, sig FROM e WHERE line_no <= 2 UNION ALL SELECT source, page, 'bot' || (n - line_no), sig FROM e WHERE n - line_no < 2
+    ), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source), q AS (
+        SELECT DISTINCT s.source, s.sig FROM s JOIN p USING (source) GROUP BY s.source, s.slot, s.sig, p.pages HAVING count(DISTINCT page) >= greatest(2, CAST(floor(0.05 * p.pages) AS BIGINT)))
+    SELECT e.page, e.line_no FROM e LEFT JOIN q ON q.source = e.source AND q.sig = e.sig
+    WHERE ((e.line_no <= 2 OR e.n - e.line_no < 2) AND q.sig IS NOT NULL) OR ((e.line_no <= 3 OR e.n - e.line_no < 3) AND regexp_full_match(trim(e.line), '[0-9]+'))""")
+def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to remove: at an edge with a repeating signature, or a bare number within three lines of one."""
+    return validate.furniture_lines(lines(spark, sf_dir), share=0.05)
+
+
+@query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS a, list_distinct(regexp_extract_all(replace(text, '1', '2'), '[0-9]+')) AS b FROM documents)
+    SELECT doc_id, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM d""")
+def added_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a rewrite that the original does not have (the rewrite here: every 1 is a 2)."""
+    def numbers(c: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1)))
+
+    added = F.array_except(numbers(F.replace("text", F.lit("1"), F.lit("2"))), numbers(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(added).cast("long").alias("added"))

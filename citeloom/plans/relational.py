@@ -1,4 +1,4 @@
-"""Projections, filters, joins, aggregates and set operations of the reference's stages, on the test tables."""
+"""Projections, filters, joins, aggregates and set operations on the test tables."""
 
 from __future__ import annotations
 

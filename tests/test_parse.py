@@ -109,3 +109,10 @@ def test_fold(spark):
     rows = spark.createDataFrame([("d", 2, "(2) Two."), ("d", 1, "(1) One."), ("e", 1, None)], "doc string, line_no int, text string")
     found = parse.fold(rows, "doc", "line_no", "text", lambda lines: ((k, len(x)) for k, x in parse.subsections(lines)), "label string, n int")
     assert sorted((r.doc, r.label or "", r.n) for r in found.collect()) == [("d", "(1)", 1), ("d", "(2)", 1), ("e", "", 1)]
+
+
+def test_word_budget():
+    lines = [f"{k}. " + "w " * 9 if k % 2 == 0 else "w " * 10 for k in range(40)]
+    runs = parse.word_budget(lines, 50)
+    assert [x for r in runs for x in r] == lines and all(r[0].startswith(tuple("0123456789")) for r in runs)
+    assert [len(r) for r in parse.word_budget(["w " * 10] * 20, 50)] == [7, 7, 6] and parse.word_budget([]) == []
