@@ -103,7 +103,7 @@ def train(samples: dict[str, list[str]]) -> Model:
     raw = {name: [FOLD[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)] for t in samples[name]] for name in languages}
     seen = np.unique(np.concatenate([np.zeros(1, np.uint8), *(x for t in raw.values() for x in t)]))
     base = len(seen) + 1  # the last symbol: never seen in training
-    symbols = np.full(256, base - 1, np.int64)
+    symbols = np.full(256, base - 1, np.uint8)  # CLASSES + 1 fit
     symbols[seen] = np.arange(len(seen))
     texts = {name: [symbols[x] for x in raw[name]] for name in languages}
     grams = [{name: _grams(texts[name], k, base) for name in languages} for k in range(ORDER + 1)]
