@@ -9,12 +9,18 @@ languages side by side, and scoring a text is a table lookup per byte.
 
 Bytes are folded first: A-Z to a-z, digits to one class, other ASCII bytes to
 another; bytes from 128 stand for themselves.
+
+The pipeline stage also asks whether a text is of the winning language at all:
+its code may be no longer than a limit a byte, which lies midway between the
+worst rate of labelled documents that a model has not seen and the rate of
+uniform symbols.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 #: Bounds of the labelled sample that a model is fitted on (training only).
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 16
+#: Nats that a text may cost beyond its limit a byte: about one token of 20 random characters, so that a key in a short text does not decide it.
+EVIDENCE = 100.0
 #: Longest context in bytes, and how often a context of over two bytes must occur to be kept.
 ORDER, MIN_COUNT, MOST_CONTEXTS = 4, 12, 60_000
 
@@ -46,12 +54,27 @@ CLASSES = 29 + 128
 
 @dataclass(frozen=True)
 class Model:
-    """languages; symbols: class -> dense symbol; step: (state, symbol) -> state; cost: (state, symbol) -> nats per language."""
+    """languages; symbols: class -> dense symbol; step: (state, symbol) -> state; cost: (state, symbol) -> nats per language.
+
+    limits: nats a byte that a text of each language may cost; None: any.
+    """
 
     languages: list[str]
     symbols: np.ndarray
     step: np.ndarray
     cost: np.ndarray
+    limits: np.ndarray | None = None
+
+    @property
+    def uniform(self) -> float:
+        """Nats of a symbol if all are equally likely."""
+        return float(np.log(self.step.shape[1]))
+
+    def fits(self, nats: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether texts of so many bytes are within the limit of their best language."""
+        if self.limits is None:
+            return np.ones(len(nats), bool)
+        return nats.min(axis=1) <= self.limits[nats.argmin(axis=1)] * sizes + EVIDENCE
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Nats of every text under every language; whole texts, in pieces of bounded size."""
@@ -154,13 +177,47 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
+def calibrated(samples: dict[str, list[str]]) -> Model:
+    """A model with limits.
+
+    The sample is halved by a hash of the text, and each half coded by a model of
+    the other.  A language's limit is midway between the worst of its texts that
+    cost less than uniform symbols and uniform symbols; texts that cost more are
+    left out of the final model, unless they are half of their language or more
+    (a rare language, not errors among its labels).
+    """
+    half = {name: [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t in texts] for name, texts in samples.items()}
+    worst: dict[str, float] = {}
+    strange: dict[str, set[str]] = {name: set() for name in samples}
+    for k in (0, 1):
+        seen = {name: found for name, texts in samples.items() if (found := [t for t, h in zip(texts, half[name], strict=True) if h != k])}
+        if not seen:
+            continue
+        m = train(seen)
+        for name, texts in samples.items():
+            rest = [t for t, h in zip(texts, half[name], strict=True) if h == k]
+            raw = [t.encode("utf-8", "surrogatepass") for t in rest]
+            nats = m.code_lengths(raw)
+            for text, size, row in zip(rest, map(len, raw), nats, strict=True):
+                if row.min() > m.uniform * size + EVIDENCE:
+                    strange[name].add(text)
+                else:
+                    best = m.languages[int(row.argmin())]
+                    worst[best] = max(worst.get(best, 0.0), min(row.min() / size, m.uniform))
+        del m
+    clean = {name: [t for t in texts if t not in strange[name]] for name, texts in samples.items()}
+    model = train({name: clean[name] if 2 * len(clean[name]) > len(texts) else texts for name, texts in samples.items()})
+    limits = np.array([(min(worst.get(name, model.uniform), model.uniform) + model.uniform) / 2 for name in model.languages])
+    return replace(model, limits=limits)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept out of training: crc32 of its id as text leaves 2 by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame) -> Model | None:
-    """A model of documents with a language that are not held out; None if there are none.
+def _sample(documents: DataFrame) -> dict[str, list[str]]:
+    """Texts by language of documents with a language that are not held out.
 
     Of each language at most SAMPLE_DOCS whole texts of at most SAMPLE_BYTES
     bytes are taken, those with the smallest hash of their id.
@@ -174,14 +231,20 @@ def fit(documents: DataFrame) -> Model | None:
     samples: dict[str, list[str]] = {}
     for lang, text in rows:
         samples.setdefault(lang, []).append(text)
-    return train({k: sorted(v) for k, v in samples.items()}) if samples else None
+    return {k: sorted(v) for k, v in samples.items()}
+
+
+def fit(documents: DataFrame) -> Model | None:
+    """A model of the sample; None if it is empty."""
+    samples = _sample(documents)
+    return train(samples) if samples else None
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with columns lang_pred and score; existing ones of these names give way.
 
     A text that is null or has no letter gets ``und`` and 0.0, and so does every
-    text without a model.  Ties go to the first language in alphabetical order.
+    text without a model or beyond the limits of one.  Ties go to the first language in alphabetical order.
     The score is the winner's share of the languages' likelihoods.
     """
     letters = F.coalesce(df[text].rlike(r"\p{L}"), F.lit(False))
@@ -193,10 +256,12 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            nats = m.code_lengths([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts])
+            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+            nats = m.code_lengths(raw)
             best = nats.argmin(axis=1) if len(nats) else np.zeros(0, np.int64)
             share = 1 / np.exp(np.maximum(nats.min(axis=1, keepdims=True) - nats, -700)).sum(axis=1) if len(nats) else np.zeros(0)
-            yield pd.DataFrame({"lang_pred": np.array(m.languages, object)[best], "score": share})
+            fits = m.fits(nats, np.array([len(r) for r in raw])) if len(nats) else np.zeros(0, bool)
+            yield pd.DataFrame({"lang_pred": np.where(fits, np.array(m.languages, object)[best], UNDETERMINED), "score": np.where(fits, share, 0.0)})
 
     rest = [df[c] for c in df.columns if c not in ("lang_pred", "score")]
     found = df.select(*rest, letters.alias("__letters"), guess(df[text]).alias("__guess"))
@@ -213,5 +278,8 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def keep_known(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is undetermined go."""
-    return predict(documents, fit(documents)).filter(F.col("lang_pred") != UNDETERMINED).select(*documents.columns)
+    """Pipeline stage: documents that are in no learned language go; all stay if none was learned."""
+    samples = _sample(documents)
+    if not samples:
+        return documents
+    return predict(documents, calibrated(samples)).filter(F.col("lang_pred") != UNDETERMINED).select(*documents.columns)
