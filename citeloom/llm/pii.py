@@ -1,8 +1,8 @@
 """Personal data by fixed forms and by bootstrapped contexts.
 
 Base spans follow four fixed forms.  They are the seeds: the words around a
-seed are a lexical pattern.  Every identifier-like token is an instance that
-occurs in patterns, whether a form matched it or not, so patterns and instances
+seed are a lexical pattern.  Every identifier-like token, and every run of
+groups of digits, is an instance that occurs in patterns, whether a form matched it or not, so patterns and instances
 make a bipartite graph over the whole corpus.  Spark scores it in rounds: a
 pattern's confidence is the smoothed share of its distinct instances that are
 believed, an instance's that of its best pattern (seeds: 1).  Instances of
@@ -29,11 +29,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: An instance: a token with a digit or an at sign, of at least so many characters, and at most.
+#: An instance: a token with a digit or an at sign, of at least so many characters.
 _TOKEN = re.compile(r"[^\s,;:!?\"'<>(){}\[\]#$&*=|]+")
 _MARK = re.compile(r"[0-9@]")
-LEAST_CHARS, MOST_CHARS = 6, 64
-_LEFT = re.compile(r"([^\W\d_]+)[^\w]*\Z")
+LEAST_CHARS = 6
+#: Or groups of digits, also in parentheses, with at most one mark between them; a run that ends within a token is cut back.
+_GROUP = r"(?:\([0-9]++(?:[ ./-][0-9]++)*+\)|[0-9]++)"
+_RUN = re.compile(rf"(?<![\w@])\+?{_GROUP}(?:[ ./-]?{_GROUP})*+")
+_GOES_ON = re.compile(r"[.+/%~-]*+[\w@]")
+_LEFT = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
 _RIGHT = re.compile(r"[^\w]*([^\W\d_]+)")
 #: Characters on either side in which the words of a pattern are sought.
 AROUND = 40
@@ -97,21 +101,39 @@ def _shape(token: str) -> str:
 
 
 def _pattern(text: str, start: int, end: int) -> str | None:
-    """The nearest word on each side on the same line, in lower case; none if there is no word on the left."""
-    left = _LEFT.search(text[max(0, start - AROUND, text.rfind("\n", 0, start) + 1) : start])
-    if not left:
-        return None
+    """The nearest word on each side on the same line, in lower case; none if there is no word on either."""
+    left = _LEFT.search(text[max(0, start - AROUND, text.rfind("\n", max(0, start - AROUND), start) + 1) : start])
     stop = text.find("\n", end, end + AROUND)
     right = _RIGHT.match(text[end : stop if stop >= 0 else end + AROUND])
-    return f"{left[1].lower()} _ {right[1].lower() if right else ''}"
+    return f"{left[1].lower() if left else ''} _ {right[1].lower() if right else ''}" if left or right else None
+
+
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of two groups of digits or more, between the spans ``taken`` (sorted)."""
+    at = 0
+    for stop, after in [*taken, (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, max(at, stop)):
+            a, b = m.span()
+            if b < stop and _GOES_ON.match(text, b, stop):
+                b = max(text.rfind(" ", a, b), text.rfind("(", a, b), text.rfind(")", a, b) + 1)
+                while b > a and text[b - 1] in " ./-":
+                    b -= 1
+            if text[a:b].startswith("(") and text.find(")", a, b) == b - 1:
+                a, b = a + 1, b - 1
+            if b > a and not text[a:b].lstrip("+").isdigit():
+                yield a, b
+        at = max(at, after)
 
 
 def _occurrences(text: str, base: list[Span]) -> list[tuple[str, str, str, int, int, bool]]:
-    """(kind, pattern, instance, start, end, seed) of base spans and of tokens outside of them."""
+    """(kind, pattern, instance, start, end, seed) of base spans, and of runs and tokens outside of them."""
     out = [(k, p, text[a:b], a, b, True) for k, a, b in base if (p := _pattern(text, a, b))]
     if "@" not in text and not any(map(text.__contains__, "0123456789")):
         return out
     taken = sorted((a, b) for _, a, b in base)
+    runs = [(k, a, b) for a, b in _runs(text, taken) if (k := _shape(text[a:b]))]
+    out += [(k, p, text[a:b], a, b, False) for k, a, b in runs if (p := _pattern(text, a, b))]
+    taken = sorted([*taken, *((a, b) for _, a, b in runs)])
     at = 0
     for m in _TOKEN.finditer(text):
         a, b = m.start(), m.end()
@@ -119,7 +141,7 @@ def _occurrences(text: str, base: list[Span]) -> list[tuple[str, str, str, int,
             continue
         while text[b - 1] in ".-+/" and b - a > 1:
             b -= 1
-        if not LEAST_CHARS <= b - a <= MOST_CHARS:
+        if b - a < LEAST_CHARS:
             continue
         while at < len(taken) and taken[at][1] <= a:
             at += 1

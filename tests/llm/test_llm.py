@@ -380,6 +380,34 @@ def test_bootstrap(spark):
     assert pii.mask("é a@b.cd x", "email:2:8") == "é <email> x"
 
 
+def test_bootstrap_of_whole_identifiers(spark):
+    """Identifiers in groups, over 64 characters long, after digits, and first on a line."""
+    known = [(i, f"please call +1 (555) 010-{1000 + i} today") for i in range(30)]
+    valid = [f"4111 1111 1111 {n}" for n in range(1000, 1200) if pii.luhn(f"411111111111{n}")]
+    known += [(100 + i, f"pay by card {c} now") for i, c in enumerate(valid)]
+    known += [(200 + i, f"hello\n+1 (555) 020-{1000 + i} reaches the office") for i in range(30)]
+    phones = ["(030) 123-4567", "030 123 4567", "030-123-4567", "030/123 45 67", "(030)123.4567", "5550107777"]
+    cards = ["4111 1111 1111 1112", "4111-1111-1111-1112", "7" * 90]
+    asked = [(f"please call {x} today", "phone", x) for x in phones] + [(f"pay by card {x} now", "card", x) for x in cards]
+    asked += [(f"hello\n{x} reaches the office", "phone", x) for x in phones]
+    asked += [("please call (030 123 4567) today", "phone", "030 123 4567"), ("please call 12, 030 123 4567 today", "phone", "030 123 4567")]
+    texts = [(500 + i, t) for i, (t, _, _) in enumerate(asked)]
+    found = {r.doc_id: r.spans for r in pii.find(documents(spark, [*known, *texts, (900, "please buy 030 123 4567 tins")])).collect()}
+    for i, (t, kind, x) in enumerate(asked):
+        assert found[500 + i] == f"{kind}:{t.index(x)}:{t.index(x) + len(x)}", t
+    assert found[900] == ""
+
+
+def test_runs():
+    """Runs of digits: as balanced as they are written, outside of tokens that go on and of spans taken before."""
+    cases = {"a 12 34-56 b": ["12 34-56"], "(030) 12 34": ["(030) 12 34"], "(030 12)": ["030 12"], "030 12 34ab": ["030 12"], "x12 34": [], "12  34": [], "12 (34": [], "12 34": ["12 34"], "12 34-ab": [], "1 2 3-ab": ["1 2"], "1 (2)3a": ["1 (2)"], "12 34. Next": ["12 34"]}
+    for text, runs in cases.items():
+        assert [text[a:b] for a, b in pii._runs(text, [])] == runs, text
+    text = "1.2.3.4 030 12 5.6.7.8"
+    assert [text[a:b] for a, b in pii._runs(text, [(0, 7), (15, 22)])] == ["030 12"]
+    assert len(list(pii._runs("1 (" * 50_000 + "1 2" * 50_000, []))) > 0
+
+
 # --- 7: archives
 
 
