@@ -2,8 +2,9 @@
 
 Lineage is cut by writing a table to the folder that the cluster names in
 ``spark.checkpoint.dir``: executors can be lost at any time afterwards and
-nothing has to be computed again.  Only where the setting is absent (tests on
-one machine) a local folder is used.
+nothing has to be computed again.  Where the setting is absent the session's
+warehouse is used, which all executors share too; only a session whose master
+is one local process gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -19,16 +20,33 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    master = spark.sparkContext.master
+    if not named and (master == "local" or master.startswith("local[")):
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         named = _OWN[app]
-    return named.rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one that nothing else has."""
+    return f"{shared_dir(spark)}/citeloom/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/citeloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
