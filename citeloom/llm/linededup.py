@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.storage import written
 
-#: Lines with fewer characters are never near copies of others; blank lines are never copies.
-NEAR_CHARS = 20
-WINDOW, STEP, SALTS = 32, 8, 16
+#: Halves of lines from HALF_STEP characters on are rounded down to STEP.
+WINDOW, STEP, HALF_STEP, SALTS = 32, 8, 32, 16
 
 
 def _lines(text: Column) -> Column:
@@ -35,9 +34,10 @@ def _lines(text: Column) -> Column:
 
 
 def _half_keys(line: Column, n: Column) -> Column:
-    """Hashes of the first and the last half (rounded down to STEP), for this length and, at a border, for one less."""
+    """Hashes of the first and the last half, as the shorter line of a pair has them: for this length and, where that differs, for one less."""
+
     def keys(length: Column) -> list[Column]:
-        half = (F.floor(length / (2 * STEP)) * STEP).cast("int")
+        half = F.when(length < HALF_STEP, F.floor(length / 2)).otherwise(F.floor(length / (2 * STEP)) * STEP).cast("int")
         return [F.xxhash64(F.lit("first"), half, F.substr(line, F.lit(1), half)), F.xxhash64(F.lit("last"), half, F.substr(line, n - half + 1, half))]
 
     return F.array_distinct(F.array(*keys(n), *keys(n - 1)))
@@ -53,7 +53,7 @@ def first_places(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64("text").alias("text"), F.posexplode(_lines(F.col("text"))).alias("line", "value"))
     n = F.length("value")
     rows = rows.filter(F.length(F.trim("value")) > 0).select(
-        "doc", "text", "line", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value", n).alias("h2"), n.alias("n"), F.when(n >= NEAR_CHARS, _half_keys(F.col("value"), n)).alias("halves")
+        "doc", "text", "line", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value", n).alias("h2"), n.alias("n"), _half_keys(F.col("value"), n).alias("halves")
     )
     rows = written(rows, "lines")
     place = F.struct("doc", "text", "line")
@@ -62,7 +62,7 @@ def first_places(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _suspects(firsts: DataFrame) -> DataFrame:
     """First places of the lines that share a half with another distinct line."""
-    halves = firsts.filter("halves IS NOT NULL").select("place", F.explode("halves").alias("half"))
+    halves = firsts.select("place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     halves = halves.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)))
     return halves.join(shared, ["half", "salt"], "left_semi").select("place").distinct()
@@ -72,9 +72,12 @@ def _with_text(places: DataFrame, documents: DataFrame) -> DataFrame:
     """place and value of these lines."""
     wanted = places.groupBy(F.col("place.doc").alias("doc"), F.col("place.text").alias("hash")).agg(F.collect_list("place.line").alias("wanted"))
     texts = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64("text").alias("hash"), F.col("text").alias("whole"))
-    found = texts.join(wanted, ["doc", "hash"]).select("doc", "hash", F.explode("wanted").alias("line"), _lines(F.col("whole")).alias("lines"))
-    one = F.struct(F.col("doc"), F.col("hash").alias("text"), F.col("line")).alias("place")
-    return found.select(one, F.element_at("lines", F.col("line") + 1).alias("value")).dropDuplicates(["place"])
+    # as the row of a generator the lines are a column, split once for all that is taken from it
+    found = texts.join(wanted, ["doc", "hash"]).select("doc", "hash", "wanted", F.explode(F.array(_lines(F.col("whole")))).alias("lines"))
+    taken = F.transform("wanted", lambda i: F.struct(i.alias("line"), F.element_at("lines", i + 1).alias("value")))
+    found = found.select("doc", "hash", F.explode(taken).alias("own"))
+    one = F.struct(F.col("doc"), F.col("hash").alias("text"), F.col("own.line").alias("line")).alias("place")
+    return found.select(one, F.col("own.value").alias("value")).dropDuplicates(["place"])
 
 
 def _windows(lines: DataFrame) -> DataFrame:
@@ -140,25 +143,29 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return gone.groupBy(F.col("place.doc").alias("doc"), F.col("place.text").alias("hash")).agg(F.collect_set("place.line").alias("gone"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, text and any others) with columns gone_lines, all_lines and deduplicated.
+MADE = ("gone_lines", "all_lines", "deduplicated")
+
+
+def deduplicated(documents: DataFrame, made: tuple[str, str, str] = MADE) -> DataFrame:
+    """``documents`` (doc_id, text and any others) with columns gone_lines, all_lines and deduplicated, or as ``made`` names them.
 
     ``deduplicated`` is the text without the lines that go; null stays null.
-    Blank lines stay.  Lines of under NEAR_CHARS characters go only as exact
-    copies.  Null doc_ids come first in order.  Existing columns of the three
-    names give way.
+    Blank lines stay.  Null doc_ids come first in order.  Existing columns of
+    the three names give way.
     """
-    made = ("gone_lines", "all_lines", "deduplicated")
     gone = written(dropped_lines(documents.select("doc_id", "text")), "gone").select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
     base = documents.select(*(documents[c] for c in documents.columns if c not in made))
     joined = base.join(gone, (F.coalesce(base["doc_id"], F.lit(-(1 << 63))).cast("long") == gone["__doc"]) & (F.xxhash64(base["text"]) == gone["__hash"]), "left")
-    lines, went = _lines(F.col("text")), F.col("__gone")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(went, i)), "\n")
+    # as the row of a generator the lines are a column, split once
+    lines, went = F.col("__lines"), F.col("__gone")
+    joined = joined.select(*base.columns, "__gone", F.explode(F.array(_lines(F.col("text")))).alias("__lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), went)
+    left = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
     return joined.select(
         *base.columns,
-        F.coalesce(F.when(went.isNotNull(), F.size(went)), F.lit(0)).cast("long").alias("gone_lines"),
-        F.size(lines).cast("long").alias("all_lines"),
-        F.when(went.isNull(), F.col("text")).otherwise(left).alias("deduplicated"),
+        F.coalesce(F.when(went.isNotNull(), F.size(went)), F.lit(0)).cast("long").alias(made[0]),
+        F.size(lines).cast("long").alias(made[1]),
+        F.when(went.isNull(), F.col("text")).otherwise(left).alias(made[2]),
     )
 
 
@@ -169,8 +176,12 @@ def line_report(documents: DataFrame) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go, and documents that keep no line of theirs."""
-    out = deduplicated(documents)
-    left = out.filter((F.col("gone_lines") == 0) | (F.length(F.trim(F.regexp_replace("deduplicated", r"\s+", " "))) > 0))
-    fresh = {"text": F.col("deduplicated"), "n_chars": F.when(F.col("gone_lines") == 0, F.col("n_chars")).otherwise(F.length("deduplicated")) if "n_chars" in documents.columns else None}
+    """Pipeline stage: repeated lines go, and documents that keep no line of theirs.
+
+    All columns stay; only text and, where lines went, n_chars change.
+    """
+    gone, _, text = names = ("__gone_lines", "__all_lines", "__deduplicated")
+    out = deduplicated(documents, names)
+    left = out.filter((F.col(gone) == 0) | (F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0))
+    fresh = {"text": F.col(text), "n_chars": F.when(F.col(gone) == 0, F.col("n_chars")).otherwise(F.length(text)) if "n_chars" in documents.columns else None}
     return left.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in documents.columns))
