@@ -2,7 +2,8 @@
 
 The lengths of all rows form one histogram.  Dynamic programming over it picks
 the bucket boundaries that minimise padding, and batches of a token budget form
-inside each bucket, each row padded to its bucket's boundary.
+inside each bucket, each row padded to its bucket's boundary.  A row that is
+longer than the budget fits no batch: it is one by itself, unpadded and marked.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.storage import written
 
 BUCKETS, TOKEN_BUDGET = 8, 16_384
-#: Lengths are exact up to 2 ** EXACT_BITS; beyond, they are rounded up to so many leading bits.
-EXACT_BITS = 12
-#: Parts of a bucket that are numbered apart.
+#: Parts of a bucket that are numbered apart: by the first two hexadecimal digits of the key's MD5.
 CELLS = 256
 
 
@@ -25,101 +24,121 @@ def token_length(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def histogram_bin(length: Column) -> Column:
-    """The upper end of a length's bin: itself up to 2 ** EXACT_BITS, then of EXACT_BITS leading bits.
+def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """At most ``buckets`` upper ends, the last being the largest length, that minimise padding to them.
 
-    So the histogram has at most 2 ** EXACT_BITS bins for each doubling, however long the texts.
+    ``lengths`` ascend.  Each layer of the dynamic programme is solved by divide
+    and conquer, a level of it at once: the best last cut never moves left as the
+    prefix grows.  Of equal costs the smallest cut is taken, and of layers the
+    first that reaches the least cost.
     """
-    shift = F.greatest(F.lit(0), F.length(F.bin(length)) - EXACT_BITS)
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-    return (F.ceil(length / step) * step).cast("long")
-
-
-def optimal_boundaries(bins: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """At most ``buckets`` upper ends, the last being the largest bin, that minimise padding to them.
-
-    Each layer of the dynamic programme is solved by divide and conquer: the
-    best last cut never moves left as the prefix grows.  Of equal costs the
-    smallest cut is taken, and of layers the first that reaches the least cost.
-    """
-    n = len(bins)
+    n = len(lengths)
     if not n:
         return []
-    size = np.concatenate(([0], np.cumsum(counts.astype(object)))).astype(float)
-    mass = np.concatenate(([0], np.cumsum(counts.astype(object) * bins.astype(object)))).astype(float)
-
-    def cost(cut: np.ndarray, end: int) -> np.ndarray:
-        """Padding of bins cut .. end - 1 in one bucket."""
+    exact = float(lengths[-1]) * float(counts.sum()) < 2**62
+    kind = np.int64 if exact else np.longdouble
+    bins = lengths.astype(kind)
+    size, mass = np.zeros(n + 1, kind), np.zeros(n + 1, kind)
+    np.cumsum(counts.astype(kind), out=size[1:])
+    np.cumsum(counts.astype(kind) * bins, out=mass[1:])
+
+    def cost(cut: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Padding of lengths cut .. end - 1 in one bucket."""
         return bins[end - 1] * (size[end] - size[cut]) - (mass[end] - mass[cut])
 
-    best = np.array([0.0, *(cost(np.array([0]), e)[0] for e in range(1, n + 1))])
+    ends = np.arange(1, n + 1)
+    best = np.concatenate((np.zeros(1, kind), cost(np.zeros(n, np.int64), ends)))
     cuts = [np.zeros(n + 1, np.int64)]
     for _ in range(1, min(buckets, n)):
-        fresh, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        fresh[0] = 0.0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
+        fresh, cut = np.zeros(n + 1, kind), np.zeros(n + 1, np.int64)
+        lo, hi, first, last = (np.array([v]) for v in (1, n, 0, n - 1))
+        while len(lo):
             mid = (lo + hi) // 2
-            tried = np.arange(first, min(last, mid - 1) + 1)
-            total = best[tried] + cost(tried, mid)
-            k = int(total.argmin())
-            fresh[mid], cut[mid] = total[k], tried[k]
-            todo += [(lo, mid - 1, first, int(tried[k])), (mid + 1, hi, int(tried[k]), last)]
+            many = np.minimum(last, mid - 1) - first + 1
+            begin = np.cumsum(many) - many
+            tried = np.arange(many.sum()) - np.repeat(begin - first, many)
+            total = best[tried] + cost(tried, np.repeat(mid, many))
+            least = np.minimum.reduceat(total, begin)
+            hits = np.flatnonzero(total == np.repeat(least, many))
+            k = tried[hits[np.searchsorted(hits, begin)]]
+            fresh[mid], cut[mid] = least, k
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (first, k), (k, last)))
+            open_ = lo <= hi
+            lo, hi, first, last = lo[open_], hi[open_], first[open_], last[open_]
         if fresh[n] >= best[n]:
             break
         best = fresh
         cuts.append(cut)
-    ends, at = [], n
+    out, at = [], n
     for cut in reversed(cuts):
         if at:
-            ends.append(int(bins[at - 1]))
+            out.append(int(lengths[at - 1]))
             at = int(cut[at])
-    return ends[::-1]
+    return out[::-1]
 
 
-def bucketed(df: DataFrame, length: Column, buckets: int = BUCKETS) -> tuple[DataFrame, list[int]]:
-    """``df`` with n_tokens, bucket (from 0) and bucket_length; and the boundaries.
+def bucketed(df: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> tuple[DataFrame, list[int]]:
+    """``df`` with n_tokens, bucket (from 0), bucket_length and over_budget; and the boundaries.
 
-    The driver gets the histogram, whose size ``histogram_bin`` bounds.
+    Boundaries are of the rows within the budget; rows beyond it share a last
+    bucket, in which each has its own length.  The driver gets the histogram of
+    the lengths within the budget, which has at most budget + 1 rows.
     """
     rows = df.withColumn("n_tokens", length)
-    found = rows.groupBy(histogram_bin(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
-    ends = optimal_boundaries(np.array([r.bin for r in found], np.int64), np.array([r.n for r in found], np.int64), buckets)
+    over = F.col("n_tokens") > budget
+    found = rows.filter(~over).groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
+    ends = optimal_boundaries(np.array([r.n_tokens for r in found], np.int64), np.array([r.n for r in found], np.int64), buckets)
     bounds = F.array(*(F.lit(e).cast("long") for e in ends)) if ends else F.array(F.lit(0).cast("long"))
-    bucket = F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))
-    return rows.withColumn("bucket", bucket).withColumn("bucket_length", F.element_at(bounds, F.col("bucket") + 1)), ends
+    bucket = F.when(over, len(ends)).otherwise(F.size(F.filter(bounds, lambda e: e < F.col("n_tokens"))))
+    end = F.when(over, F.col("n_tokens")).otherwise(F.get(bounds, F.col("bucket")))
+    return rows.withColumn("bucket", bucket).withColumns({"bucket_length": end, "over_budget": over}), ends
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Key, n_tokens, bucket, bucket_length, batch (from 0 in its bucket), slot (from 0 in its batch) and padding.
+    """Key, n_tokens, bucket, bucket_length, batch (from 0 in its bucket), slot (from 0 in its batch), padding and over_budget.
 
     A batch of a bucket takes as many rows as fit the budget at the bucket's
-    length, one at least.  Null and empty texts have no tokens and are packed
-    too; repeated rows take a slot each; of ties the smaller key comes first.
-    Rows of a bucket are numbered in CELLS parts, so no task sorts a bucket.
+    length; a row longer than the budget is a batch by itself, without padding
+    and with over_budget.  Null and empty texts have no tokens and are packed
+    too; repeated rows take a slot each; of ties the smaller key comes first
+    within the key's cell.  Rows of a bucket are numbered in CELLS parts, so no
+    task sorts a bucket.
     """
-    rows, _ = bucketed(written(df.select(df[key].alias("k"), token_length(df[text]).alias("n")), "lengths").select("k", "n"), F.col("n"), buckets)
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("k", "n"), F.lit(CELLS)))
+    return _numbered(written(df.select(df[key].alias("k"), token_length(df[text]).alias("n")), "lengths"), buckets, budget).withColumnRenamed("k", key)
+
+
+def _numbered(lengths: DataFrame, buckets: int, budget: int) -> DataFrame:
+    """The batches of a written table (k, n)."""
+    rows, _ = bucketed(lengths, F.col("n"), buckets, budget)
+    rows = rows.withColumn("cell", F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 2))
     before = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("bucket", "cell").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("k", "n")) - 1
-    rows = rows.withColumn("at", at).join(F.broadcast(cells.select("bucket", "cell", "before")), ["bucket", "cell"])  # buckets x CELLS rows
+    rows = rows.withColumn("at", at).join(F.broadcast(cells.select("bucket", "cell", "before")), ["bucket", "cell"])  # (buckets + 1) x CELLS rows
     rank = F.col("at") + F.col("before")
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length")))).cast("long")
     return rows.select(
-        F.col("k").alias(key),
+        "k",
         F.col("n_tokens"),
         F.col("bucket"),
         F.col("bucket_length"),
         F.floor(rank / fit).cast("long").alias("batch"),
         (rank % fit).cast("long").alias("slot"),
         (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
+        "over_budget",
     )
 
 
 def packed(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the batch of every document."""
-    return pack(documents)
+    """Pipeline stage: every document with its text, and its place (bucket, batch, slot and the rest of ``pack``).
+
+    Rows are told apart by doc_id and the hash of their text; rows that repeat
+    both have equal lengths and take a slot each.  Other columns stay, but for
+    those that have the name of one of the place's, which give way.
+    """
+    places = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding", "over_budget")
+    own = documents.select(*(c for c in documents.columns if c not in places))
+    rows = written(own.withColumn("__row", F.monotonically_increasing_id()), "to-pack")
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
+    found = _numbered(written(rows.select(key.alias("k"), token_length(F.col("text")).alias("n")), "lengths"), BUCKETS, TOKEN_BUDGET)
+    return rows.join(found.select(F.col("k.row").alias("__row"), *places), "__row").select(*own.columns, *places)
