@@ -6,15 +6,18 @@ capacity under which a greedy walk needs no more than the wanted shards is
 found by search; then the cuts are placed under that capacity, as evenly as it
 allows.
 
-All rows stay in DataFrame operations.  The driver holds one sum for each of a
-fixed number of key ranges, and the cuts near the places where a shard can end
-if those are at most NEAR_CUTS; beyond that, cuts are looked up in the table,
-for many capacities in each job.
+All rows stay in DataFrame operations.  The driver holds cuts as a histogram of
+several levels: of every range that it has asked about it knows the first and
+last cut of each of FINE parts, and whether there are others between those.
+That bounds a greedy walk from below and above, so most capacities are decided;
+the ranges where the undecided ones end are asked about next, all in one job.
+Every level makes ranges FINE times smaller, so a few jobs are enough for any
+number of groups, and each brings (shards + 1) x FINE rows at most.
 """
 
 from __future__ import annotations
 
-import bisect
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from citeloom.llm.storage import written
 SHARDS = 16
 #: Key ranges (hexadecimal digits of the key's beginning) and parts of a range that are numbered apart.
 RANGE_DIGITS, CELLS = 3, 64
-#: Cuts that the driver may hold, and capacities tried at once beyond that.
-NEAR_CUTS, AT_ONCE = 200_000, 64
+#: Parts of each range that is asked about.
+FINE = 2048
 
 
 def text_size(text: Column) -> Column:
@@ -35,76 +38,112 @@ def text_size(text: Column) -> Column:
 
 
 class Cuts:
-    """The ends of groups along the running sum of bytes."""
+    """What is known of the ends of groups along the running sum of bytes."""
 
     def __init__(self, groups: DataFrame):
         """groups: part (key range), start and end of every group."""
         self._groups = groups
-        found = groups.groupBy("part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.col("end") - F.col("start")).alias("most")).orderBy("start").collect()
-        self._parts = [(r.start, r.end, r.part) for r in found]
+        found = groups.groupBy("part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.col("end") - F.col("start")).alias("most"), F.count("*").alias("n")).orderBy("start").collect()
         self.total = found[-1].end if found else 0
         self.largest = max((r.most for r in found), default=0)
-        self._near: list[int] | None = None
-
-    def hold_near(self, windows: list[tuple[int, int]]) -> bool:
-        """Hold all cuts in these ranges on the driver, if they are few enough."""
-        inside = F.lit(False)
-        for lo, hi in windows:
-            inside = inside | F.col("end").between(lo, hi)
-        wanted = self._groups.filter(inside).select("end")
-        if self._near is None and wanted.count() <= NEAR_CUTS:
-            self._near = sorted({0, self.total, *(r.end for r in wanted.collect())})
-        return self._near is not None
-
-    def at_most(self, values: list[int]) -> list[int]:
-        """For each value the last cut (or 0) that is not beyond it."""
-        if self._near is not None:
-            return [self._near[max(0, bisect.bisect_right(self._near, v) - 1)] for v in values]
-        return self._looked_up(values, "start")
-
-    def at_least(self, values: list[int]) -> list[int]:
-        """For each value the first cut (or 0) that is not before it."""
-        if self._near is not None:
-            return [self._near[min(len(self._near) - 1, bisect.bisect_left(self._near, v))] for v in values]
-        return [v if v <= 0 else e for v, e in zip(values, self._looked_up([v - 1 for v in values], "end"), strict=True)]
-
-    def _looked_up(self, values: list[int], side: str) -> list[int]:
-        """The start or end of the group over each value."""
-        known = {v: self.total for v in values if v >= self.total} | {v: 0 for v in values if v < 0}
-        rest = sorted(set(values) - known.keys())
-        if rest:
-            starts = [s for s, _, _ in self._parts]
-            part_of = {v: self._parts[bisect.bisect_right(starts, v) - 1][2] for v in rest}
-            asked = self._groups.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({v}L, '{part_of[v]}')" for v in rest) + " AS t(value, part)")
-            near = self._groups.filter(F.col("part").isin(sorted(set(part_of.values()))) & (F.col("start") <= rest[-1]) & (F.col("end") > rest[0]))
-            hits = near.join(F.broadcast(asked), "part").filter((F.col("start") <= F.col("value")) & (F.col("value") < F.col("end")))  # a row for each value
-            known |= {r.value: r[side] for r in hits.select("value", side).collect()}
-        return [known[v] for v in values]
-
-
-def _greedy(cuts: Cuts, capacities: list[int], shards: int) -> list[bool]:
-    """Whether each capacity is enough for all bytes in so many shards."""
-    at = [0] * len(capacities)
+        #: Cuts that are known, and those of them behind which, before the next, there are others.
+        self._known = sorted({0, *(r.end for r in found)})
+        self._open = {r.start for r in found if r.n > 1}
+
+    def around(self, value: int) -> tuple[int, int, int]:
+        """The last known cut (or 0) not beyond ``value`` and the next one, and the highest place at which the true last cut can be."""
+        k = max(0, bisect_right(self._known, value) - 1)
+        a, b = self._known[k], self._known[min(k + 1, len(self._known) - 1)]
+        return a, b, value if a in self._open and a < value < b else a
+
+    def look_into(self, ranges: list[tuple[int, int]]) -> bool:
+        """One job for the cuts inside of these ranges (of which no two overlap) that are open; False if none is."""
+        ranges = [(lo, hi) for lo, hi in ranges if self._opens(lo, hi)]
+        if not ranges:
+            return False
+        at = F.lit(None)
+        for k, (lo, hi) in enumerate(ranges):
+            cell = F.floor((F.col("end") - lo) / F.lit(-(-(hi - lo) // FINE))) + k * (FINE + 1)
+            at = F.when((F.col("end") > lo) & (F.col("end") < hi), cell).otherwise(at)
+        cells = self._groups.select("end", at.alias("cell")).filter("cell IS NOT NULL").groupBy("cell")
+        found = cells.agg(F.min("end").alias("low"), F.max("end").alias("high"), F.count("*").alias("n")).collect()
+        opened = {lo: hi for lo, hi in ((r.low, r.high) for r in found if r.n > 2)}
+        before = self._known
+        self._known = sorted({*before, *(x for r in found for x in (r.low, r.high))})
+        for lo, hi in ranges:
+            first, last = bisect_left(self._known, lo), bisect_left(self._known, hi)
+            inside = self._known[first:last]
+            was, now = False, None
+            old = set(before[bisect_left(before, lo) : bisect_left(before, hi)])
+            for cut in inside:
+                if cut in old:
+                    was = cut in self._open
+                if cut in opened:
+                    now = opened[cut]
+                self._open.discard(cut)
+                if was and now is not None and cut < now:
+                    self._open.add(cut)
+        return True
+
+    def _opens(self, lo: int, hi: int) -> bool:
+        return any(c in self._open for c in self._known[bisect_left(self._known, lo) : bisect_left(self._known, hi)])
+
+    def at_most(self, value: int) -> int:
+        """The last cut (or 0) that is not beyond ``value``."""
+        while True:
+            a, b, high = self.around(value)
+            if high == a or not self.look_into([(a, b)]):
+                return a
+
+    def at_least(self, value: int) -> int:
+        """The first cut (or 0) that is not before ``value``."""
+        if value <= 0:
+            return 0
+        while True:
+            a, b, high = self.around(value)
+            if a == value or high == a or not self.look_into([(a, b)]):
+                return a if a == value else b
+
+
+def _walks(cuts: Cuts, capacity: int, shards: int) -> list[tuple[int, int]]:
+    """Bounds of the greedy walk's places: by known cuts only, and at best."""
+    out, low, high = [], 0, 0
     for _ in range(shards):
-        if all(a >= cuts.total for a in at):
-            break
-        at = cuts.at_most([a + c for a, c in zip(at, capacities, strict=True)])
-    return [a >= cuts.total for a in at]
+        low, high = cuts.around(low + capacity)[0], cuts.around(high + capacity)[2]
+        out.append((low, high))
+    return out
 
 
 def smallest_capacity(cuts: Cuts, shards: int = SHARDS) -> int:
-    """The least capacity that a greedy walk can do with."""
+    """The least capacity that a greedy walk can do with.
+
+    Places of the walk never fall as the capacity grows, so between a capacity
+    that is known to be too small and one that is known to be enough each place
+    is in one range, which is asked about until the two meet.
+    """
     mean = -(-cuts.total // shards)
     low, high = max(mean, cuts.largest), mean + cuts.largest  # the upper end always does
-    reach = shards * cuts.largest
-    held = cuts.hold_near([(k * mean - reach - shards, k * high) for k in range(1, shards + 1)])
-    if not held and _greedy(cuts, [low], shards)[0]:
-        return low
+    while True:
+        enough = _least(low, high, lambda c: _walks(cuts, c, shards)[-1][0] >= cuts.total)
+        possible = _least(low, enough, lambda c: _walks(cuts, c, shards)[-1][1] >= cuts.total)
+        if enough == possible:
+            return enough
+        ranges: list[tuple[int, int]] = []
+        for (a, _), (_, b) in zip(_walks(cuts, possible, shards), _walks(cuts, enough, shards), strict=True):
+            b = cuts.around(b)[1]
+            if ranges and a < ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+            elif a < b:
+                ranges.append((a, b))
+        cuts.look_into(ranges)
+        low, high = possible, enough
+
+
+def _least(low: int, high: int, ok) -> int:
+    """The least number from ``low`` to ``high`` that is ok, if all after it are; ``high`` is taken to be."""
     while low < high:
-        tried = sorted({low + (high - low) * k // (AT_ONCE + 1) for k in range(AT_ONCE + 1)}) if not held else [(low + high) // 2]
-        enough = dict(zip(tried, _greedy(cuts, tried, shards), strict=True))
-        high = min((c for c, ok in enough.items() if ok), default=high)
-        low = max((c + 1 for c, ok in enough.items() if not ok and c < high), default=low)
+        mid = (low + high) // 2
+        low, high = (low, mid) if ok(mid) else (mid + 1, high)
     return high
 
 
@@ -112,12 +151,12 @@ def place(cuts: Cuts, capacity: int, shards: int = SHARDS) -> list[int]:
     """The ends of all shards but the last, none over the capacity, each as near to an even share of what is left as that allows."""
     needed = [cuts.total]  # the first place from which the remaining shards are enough, from the last shard back
     for _ in range(shards - 1):
-        needed.append(cuts.at_least([max(0, needed[-1] - capacity)])[0])
+        needed.append(cuts.at_least(max(0, needed[-1] - capacity)))
     out, at = [], 0
     for k in range(1, shards):
-        even, most = cuts.at_most([at - (at - cuts.total) // (shards - k + 1), at + capacity])
+        even, most = (cuts.at_most(v) for v in (at - (at - cuts.total) // (shards - k + 1), at + capacity))
         if even == at:
-            even = cuts.at_least([min(at + 1, cuts.total)])[0]
+            even = cuts.at_least(min(at + 1, cuts.total))
         at = max(needed[shards - k], min(most, even))
         out.append(at)
     return out
@@ -128,8 +167,9 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 
     Law ``bytes``: equal texts share a shard (null counts as empty), and the
     largest shard is as small as contiguous cuts allow.  Slots number a shard's
-    rows by key range, key modulo CELLS, key and text key.  Repeated rows take a
-    slot each; a null key counts as 0 in that order; an empty table gives none.
+    rows by key range, cell (of the key's MD5), key and text key; keys may have
+    any type that orders.  Repeated rows take a slot each; a null key comes
+    first in its cell; an empty table gives none.
     """
     whole = F.coalesce(df[text], F.lit(""))
     rows = df.select(df[key].alias("k"), text_size(df[text]).alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), F.md5(F.encode(whole, "UTF-8")).alias("group"))
@@ -146,11 +186,12 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     ends = place(cuts, smallest_capacity(cuts, shards), shards) if cuts.total else [0] * (shards - 1)
     first = {r.start: r.group for r in groups.filter(F.col("start").isin(sorted(set(ends)))).select("start", "group").collect()}
     keys = F.array(*(F.lit(first.get(e, "g")) for e in ends))  # "g" is after every hexadecimal digit
-    rows = rows.withColumns({"shard": F.size(F.filter(keys, lambda c: c <= F.col("group"))), "cell": F.pmod(F.coalesce("k", F.lit(0)), F.lit(CELLS)).cast("int")})
+    cell = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"), F.lit(CELLS))
+    rows = rows.withColumns({"shard": F.size(F.filter(keys, lambda c: c <= F.col("group"))), "cell": cell})
 
     earlier = Window.partitionBy("shard").orderBy("part", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("shard", "part", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("shard", "part", "cell").orderBy(F.coalesce("k", F.lit(0)), "group")) - 1
+    at = F.row_number().over(Window.partitionBy("shard", "part", "cell").orderBy("k", "group")) - 1
     numbered = rows.withColumn("at", at).join(F.broadcast(cells.drop("n")), ["shard", "part", "cell"])  # (16 ** RANGE_DIGITS + shards) x CELLS rows
     return numbered.select(
         F.col("k").alias(key),
