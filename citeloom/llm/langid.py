@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 #: The answer for texts that are null or have no letter, or if nothing was learned.
 UNDETERMINED = "und"
-#: Bounds of the labelled sample that a model is fitted on (training only).
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 16
+#: Bounds of the labelled sample that a model is fitted on (training only): documents of a language, characters of a document,
+#: and documents of all languages, which share them evenly where they are too many for SAMPLE_DOCS each.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 400, 1 << 16, 3200
 #: Nats that a text may cost beyond its limit a byte: about one token of 20 random characters, so that a key in a short text does not decide it.
 EVIDENCE = 100.0
-#: Longest context in bytes, and how often a context of over two bytes must occur to be kept.
+#: Longest context in bytes, how often a context of over two bytes must occur to be kept, and how many are kept in all: what a
+#: rarer context would predict is taken from the next shorter one, which costs code length but no text.
 ORDER, MIN_COUNT, MOST_CONTEXTS = 4, 12, 60_000
 
 
@@ -219,19 +221,33 @@ def held_out(doc_id: Column) -> Column:
 def _sample(documents: DataFrame) -> dict[str, list[str]]:
     """Texts by language of documents with a language that are not held out.
 
-    Of each language at most SAMPLE_DOCS whole texts of at most SAMPLE_BYTES
-    bytes are taken, those with the smallest hash of their id.
+    Of each language at most SAMPLE_DOCS (or its share of SAMPLE_ALL) distinct
+    documents are taken, those with the smallest hash of their id, and of each
+    the first SAMPLE_CHARS characters.  Counting a language's documents first
+    gives a bound of the hash that about twice as many pass, so that no task
+    orders a language.
     """
-    ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, SAMPLE_BYTES)
-    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumn("hash", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
-    ids = rows.select("lang", "doc_id", "hash").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "doc_id", "hash").distinct()
-    found = rows.join(F.broadcast(ids), ["lang", "doc_id", "hash"])  # SAMPLE_DOCS rows a language
-    rows = found.groupBy("lang", "doc_id", "hash").agg(F.first("text").alias("text")).select("lang", "text").collect()
+    ok = F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumns({"own": F.xxhash64("text"), "hash": F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))})
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    wanted = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
     samples: dict[str, list[str]] = {}
-    for lang, text in rows:
-        samples.setdefault(lang, []).append(text)
-    return {k: sorted(v) for k, v in samples.items()}
+    missing, times = counts, 2.0
+    while missing:
+        bounds = documents.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (times * wanted + 20) / n))) for k, n in missing.items()], "lang string, bound long")
+        passed = rows.join(F.broadcast(bounds), "lang").filter("hash < bound")  # a row for each language
+        order = Window.partitionBy("lang").orderBy("hash", "doc_id", "own")
+        first = passed.select("lang", "doc_id", "hash", "own").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= wanted).select("lang", "doc_id", "own")
+        few = passed.join(F.broadcast(first), ["lang", "doc_id", "own"]).groupBy("lang", "doc_id", "own").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))  # ``wanted`` rows a language
+        found: dict[str, list[str]] = {}
+        for lang, text in few.select("lang", "text").collect():
+            found.setdefault(lang, []).append(text)
+        done = {k for k, n in missing.items() if len(found.get(k, [])) == wanted or times * wanted + 20 >= n}
+        samples |= {k: sorted(found[k]) for k in done if k in found}
+        missing, times = {k: n for k, n in missing.items() if k not in done}, times * 8
+    return samples
 
 
 def fit(documents: DataFrame) -> Model | None:
@@ -240,8 +256,8 @@ def fit(documents: DataFrame) -> Model | None:
     return train(samples) if samples else None
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``df`` with columns lang_pred and score; existing ones of these names give way.
+def predict(df: DataFrame, model: Model | None, text: str = "text", made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with columns lang_pred and score, or as ``made`` names them; existing ones of these names give way.
 
     A text that is null or has no letter gets ``und`` and 0.0, and so does every
     text without a model or beyond the limits of one.  Ties go to the first language in alphabetical order.
@@ -249,7 +265,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """
     letters = F.coalesce(df[text].rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return df.withColumns({made[0]: F.lit(UNDETERMINED), made[1]: F.lit(0.0)})
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS
 
     @F.pandas_udf("lang_pred string, score double")
@@ -263,12 +279,12 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             fits = m.fits(nats, np.array([len(r) for r in raw])) if len(nats) else np.zeros(0, bool)
             yield pd.DataFrame({"lang_pred": np.where(fits, np.array(m.languages, object)[best], UNDETERMINED), "score": np.where(fits, share, 0.0)})
 
-    rest = [df[c] for c in df.columns if c not in ("lang_pred", "score")]
+    rest = [df[c] for c in df.columns if c not in made]
     found = df.select(*rest, letters.alias("__letters"), guess(df[text]).alias("__guess"))
     return found.select(
-        *(c for c in df.columns if c not in ("lang_pred", "score")),
-        F.when(F.col("__letters"), F.col("__guess.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(F.col("__letters"), F.col("__guess.score")).otherwise(0.0).alias("score"),
+        *(c for c in df.columns if c not in made),
+        F.when(F.col("__letters"), F.col("__guess.lang_pred")).otherwise(UNDETERMINED).alias(made[0]),
+        F.when(F.col("__letters"), F.col("__guess.score")).otherwise(0.0).alias(made[1]),
     )
 
 
@@ -278,8 +294,9 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def keep_known(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are in no learned language go; all stay if none was learned."""
+    """Pipeline stage: documents that are in no learned language go; all stay if none was learned.  Columns stay as they are."""
     samples = _sample(documents)
     if not samples:
         return documents
-    return predict(documents, calibrated(samples)).filter(F.col("lang_pred") != UNDETERMINED).select(*documents.columns)
+    made = ("__lang_pred", "__score")
+    return predict(documents, calibrated(samples), made=made).filter(F.col(made[0]) != UNDETERMINED).select(*documents.columns)
