@@ -6,6 +6,10 @@ resolves the data range of stored members from their local headers, reads the
 index member, and then fetches each record by one range inside the archive
 member.  Members that are compressed as a whole cannot be read by ranges and
 are refused.
+
+Archives are files of the shared folder, one after another from each task.  A
+task that is run again writes files of other names, and only those that its
+table of paths names are read.
 """
 
 from __future__ import annotations
@@ -16,24 +20,38 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.storage import written
+from citeloom.llm.storage import new_path, written
 
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records are rolled into a new archive beyond so many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: Archives that one reading task gets, by their bytes, unless that makes too many tasks.
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 SALTS = 16
 _URN, _DATE = "urn:page:", "2024-01-01T00:00:00Z"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it."""
+    for one, other in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = uri.replace(one, other, 1) if uri.startswith(one) else uri
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 class ArchiveError(ValueError):
     """The bytes are no archive that this reader reads."""
 
@@ -58,6 +76,14 @@ class ZipRanges:
         view = memoryview(data)
         return cls(len(data), lambda at, n: bytes(view[at : at + n]))
 
+    @classmethod
+    @contextmanager
+    def of_file(cls, uri: str) -> Iterator[ZipRanges]:
+        """The archive in a file of any store that pyarrow opens, by seeks."""
+        store, path = store_of(uri)
+        with store.open_input_file(path) as file:
+            yield cls(file.size(), lambda at, n: file.read_at(n, at))
+
     def _end(self) -> tuple[int, int, int]:
         """Entries, size and offset of the central directory."""
         tail_at = max(0, self._size - 65557)
@@ -215,8 +241,16 @@ def with_first(pages: DataFrame) -> DataFrame:
     return rows.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", "first_id")
 
 
-def write_archives(rows: DataFrame) -> DataFrame:
-    """Archives (column ``data``) of the rows of ``with_first``, of about ARCHIVE_BYTES each."""
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """Write the rows of ``with_first`` into archives of about ARCHIVE_BYTES in ``folder``; a row for each: uri, bytes and records."""
+
+    def saved(records: list[tuple[bytes, dict]]) -> pd.DataFrame:
+        uri, data = f"{folder}/{uuid.uuid4().hex}.wacz", pack_archive(records)
+        store, path = store_of(uri)
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(data)
+        return pd.DataFrame({"uri": [uri], "bytes": [len(data)], "records": [len(records)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         records, size = [], 0
@@ -227,19 +261,19 @@ def write_archives(rows: DataFrame) -> DataFrame:
                 records.append(build_record(page, url if isinstance(url, str) else None, html.encode("utf-8", "surrogatepass"), refers))
                 size += len(records[-1][0])
                 if size >= ARCHIVE_BYTES:
-                    yield pd.DataFrame({"data": [pack_archive(records)]})
+                    yield saved(records)
                     records, size = [], 0
         if records:
-            yield pd.DataFrame({"data": [pack_archive(records)]})
+            yield saved(records)
 
-    return rows.select(F.col("page_id").cast("string"), "url", "html", F.col("first_id").cast("string")).mapInPandas(run, "data binary")
+    return rows.select(F.col("page_id").cast("string"), "url", "html", F.col("first_id").cast("string")).mapInPandas(run, "uri string, bytes long, records long")
 
 
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record of the archives in column ``data``; a payload that is there is held against its digest."""
+    """A row for each record of the archive files in column ``uri``; a payload that is there is held against its digest."""
 
     def number(urn: str | None) -> int | None:
         tail = (urn or "").strip("<>").removeprefix(_URN)
@@ -249,26 +283,44 @@ def read_archives(archives: DataFrame) -> DataFrame:
         head, body = record.http()
         code = record.headers["warc-payload-digest"].removeprefix("sha1:")
         kind = record.headers["warc-type"]
-        if kind == "response" and digest(body) != code:
+        size = int(head["content-length"])
+        if kind == "response" and (digest(body) != code or len(body) != size):
             raise ArchiveError("payload and digest differ")
-        return number(record.headers["warc-record-id"]), int(head["content-length"]), code, kind, number(record.headers.get("warc-refers-to"))
+        return number(record.headers["warc-record-id"]), size, code, kind, number(record.headers.get("warc-refers-to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["data"]:
-                rows = [row(r) for r in PackedWarc(ZipRanges.of_bytes(data))]
+            for uri in batch["uri"]:
+                with ZipRanges.of_file(uri) as archive:
+                    rows = [row(r) for r in PackedWarc(archive)]
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.mapInPandas(run, RECORD_SCHEMA)
+    return archives.select("uri").mapInPandas(run, RECORD_SCHEMA)
+
+
+def check_revisits(records: DataFrame) -> None:
+    """Every revisit must have a response with its page_id, length and digest; ArchiveError if one has not.
+
+    Revisits of one response are one row before anything is shuffled.
+    """
+    own = ["payload_digest", "payload_bytes"]
+    asked = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *own).distinct()
+    there = records.filter("record_type = 'response'").select("page_id", *own)
+    if lost := asked.join(there, ["page_id", *own], "left_anti").head():
+        raise ArchiveError(f"no response for the revisits of {lost.page_id}")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write a record for every page into ZIP-packaged WARCs, then read them back.
+    """Write a record for every page into ZIP-packaged WARC files, then read them back by ranges.
 
     Null html is an empty payload.  Of equal payloads the smallest page_id is
     the response (every row that carries it, if it repeats), the others are
     revisits of it; rows without page_id refer to it too, and are responses if
     no row of the group has one.  An empty table gives an empty table.
     """
-    return read_archives(written(write_archives(with_first(pages)), "warc"))
+    files = written(write_archives(with_first(pages), new_path(pages.sparkSession, "warc")), "warc-files")
+    tasks = files.agg(F.sum("bytes")).first()[0] or 0
+    records = written(read_archives(files.repartition(min(MOST_TASKS, 1 + tasks // TASK_BYTES))), "warc-records")
+    check_revisits(records)
+    return records
