@@ -69,7 +69,43 @@ QUERIES: dict[str, Query] = {
     "op10_minmax": op10_minmax,
 }
 
+#: One layer of the dynamic programme over bucket boundaries: the least padding of the i shortest lengths in k buckets, and the last cut.
+_LAYER = """
+        ), l{k} AS MATERIALIZED (
+            SELECT {k} AS k, e.i, min({{'cost': b.cost + e.len * (e.size - c.size) - (e.mass - c.mass), 'cut': b.i}}) AS m
+            FROM p e JOIN b{j} b ON b.i < e.i JOIN p c ON c.i = b.i GROUP BY e.i
+        ), b{k} AS MATERIALIZED (
+            SELECT i, m.cost AS cost FROM l{k} UNION ALL SELECT 0, 0"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_packing": r"""
+        WITH RECURSIVE n AS (
+            SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents
+        ), h AS (
+            SELECT n AS len, count(*) AS c FROM n WHERE n <= 16384 GROUP BY n
+        ), p AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY len) AS i, len, CAST(sum(c) OVER (ORDER BY len) AS BIGINT) AS size, CAST(sum(c * len) OVER (ORDER BY len) AS BIGINT) AS mass FROM h
+            UNION ALL SELECT 0, 0, 0, 0
+        ), b0 AS (
+            SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cost""" + "".join(_LAYER.format(k=k, j=k - 1) for k in range(1, 9)) + r"""
+        ), layers AS (
+            """ + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, 9)) + r"""
+        ), top AS (
+            SELECT k, i FROM layers WHERE i = (SELECT max(i) FROM p) ORDER BY m.cost, k LIMIT 1
+        ), walk(k, i) AS (
+            SELECT k, i FROM top UNION ALL SELECT w.k - 1, l.m.cut FROM walk w JOIN layers l ON l.k = w.k AND l.i = w.i WHERE l.m.cut > 0
+        ), ends AS (
+            SELECT coalesce(list(p.len ORDER BY p.len), []) AS ends FROM walk JOIN p ON p.i = walk.i
+        ), r AS (
+            SELECT doc_id, n, n > 16384 AS over, CASE WHEN n > 16384 THEN len(ends) ELSE len(list_filter(ends, lambda e: e < n)) END AS bucket, ends FROM n, ends
+        ), s AS (
+            SELECT *, CASE WHEN over THEN n ELSE ends[bucket + 1] END AS bucket_length,
+                   row_number() OVER (PARTITION BY bucket ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 2), doc_id, n) - 1 AS rank FROM r
+        ), f AS (
+            SELECT *, greatest(1, 16384 // greatest(1, bucket_length)) AS fit FROM s
+        )
+        SELECT doc_id, n AS n_tokens, CAST(bucket AS INT) AS bucket, bucket_length, rank // fit AS batch, rank % fit AS slot, bucket_length - n AS padding, over AS over_budget FROM f
+    """,
     "op8_lines": r"""
         WITH l AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -78,10 +114,11 @@ ORACLE_SQL: dict[str, str] = {
         ), f AS (
             SELECT value, min({'doc': doc_id, 'line': line}) AS place FROM e WHERE length(trim(value, ' ')) > 0 GROUP BY value
         ), near AS (
-            SELECT DISTINCT a.value FROM f a JOIN f b ON b.place < a.place AND length(a.value) >= 20 AND length(b.value) >= 20
-                AND length(b.value) BETWEEN length(a.value) - 1 AND length(a.value) + 1
-                AND (left(a.value, length(a.value) // 2 - 1) = left(b.value, length(a.value) // 2 - 1) OR right(a.value, length(a.value) // 2 - 1) = right(b.value, length(a.value) // 2 - 1))
-            WHERE levenshtein(a.value, b.value) <= 1
+            SELECT DISTINCT a.value FROM f a JOIN f b ON b.place < a.place AND length(b.value) BETWEEN length(a.value) - 1 AND length(a.value) + 1
+                AND (left(a.value, greatest(0, length(a.value) // 2 - 1)) = left(b.value, greatest(0, length(a.value) // 2 - 1)) OR right(a.value, greatest(0, length(a.value) // 2 - 1)) = right(b.value, greatest(0, length(a.value) // 2 - 1)))
+            WHERE levenshtein(a.value, b.value) <= 4 -- of bytes: a character has four at most
+                AND len(list_filter(range(greatest(length(a.value), length(b.value))), lambda i: left(a.value, i) = left(b.value, i)
+                    AND substr(a.value, CAST(i + 1 + (length(a.value) >= length(b.value))::INT AS BIGINT)) = substr(b.value, CAST(i + 1 + (length(b.value) >= length(a.value))::INT AS BIGINT)))) > 0
         ), k AS (
             SELECT e.*, f.value IS NULL OR (f.place = {'doc': e.doc_id, 'line': e.line} AND n.value IS NULL) AS stays
             FROM e LEFT JOIN f ON f.value = e.value LEFT JOIN near n ON n.value = e.value
@@ -150,7 +187,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
                    list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
                    lambda v, b: xor(v >> 8, k.k[(xor(v, b) & 255) + 1]))) AS text_crc32, 'bytes' AS law, shard,
-               row_number() OVER (PARTITION BY shard ORDER BY substr(g, 1, 3), doc_id % 64, doc_id, g) - 1 AS slot,
+               row_number() OVER (PARTITION BY shard ORDER BY substr(g, 1, 3), CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS INT) % 64, doc_id, g) - 1 AS slot,
                CAST(NULL AS INT) AS grown_shard
         FROM r, k
     """,
