@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,21 +30,20 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: An instance: a token with a digit or an at sign, of at least so many characters.
+#: An instance: a token with an at sign or a dotted number, or one that is mostly digits and has at least so many.
 _TOKEN = re.compile(r"[^\s,;:!?\"'<>(){}\[\]#$&*=|]+")
 _MARK = re.compile(r"[0-9@]")
-LEAST_CHARS = 6
+LEAST_DIGITS = 6
 #: Or groups of digits, also in parentheses, with at most one mark between them; a run that ends within a token is cut back.
 _GROUP = r"(?:\([0-9]++(?:[ ./-][0-9]++)*+\)|[0-9]++)"
 _RUN = re.compile(rf"(?<![\w@])\+?{_GROUP}(?:[ ./-]?{_GROUP})*+")
 _GOES_ON = re.compile(r"[.+/%~-]*+[\w@]")
-_LEFT = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
-_RIGHT = re.compile(r"[^\w]*([^\W\d_]+)")
-#: Characters on either side in which the words of a pattern are sought.
-AROUND = 40
+_WORD = re.compile(r"[^\W\d_]+")
 #: Rounds of scoring; a pattern is of use with so many believed instances and such a confidence.
 ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 5, 0.8
 SALTS = 16
+#: Characters of text whose results leave Python together.
+TOGETHER = 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -95,17 +95,33 @@ def _shape(token: str) -> str:
     digits = sum("0" <= c <= "9" for c in token)
     if token.count(".") == 3 and digits + 3 == len(token):
         return "ip"
-    if digits * 2 < len(token) or digits < LEAST_CHARS:
+    if digits * 2 < len(token) or digits < LEAST_DIGITS:
         return ""
     return "card" if digits > 15 else "phone"
 
 
-def _pattern(text: str, start: int, end: int) -> str | None:
-    """The nearest word on each side on the same line, in lower case; none if there is no word on either."""
-    left = _LEFT.search(text[max(0, start - AROUND, text.rfind("\n", max(0, start - AROUND), start) + 1) : start])
-    stop = text.find("\n", end, end + AROUND)
-    right = _RIGHT.match(text[end : stop if stop >= 0 else end + AROUND])
-    return f"{left[1].lower() if left else ''} _ {right[1].lower() if right else ''}" if left or right else None
+class _Lines:
+    """The words around places of a text, asked in any order; each line is taken apart once."""
+
+    def __init__(self, text: str):
+        self._text = text
+        self._from, self._to = 0, -1
+        self._begins: list[int] = []
+        self._ends: list[int] = []
+
+    def pattern(self, start: int, end: int) -> str | None:
+        """The nearest word on each side on the same line, in lower case; none if there is no word on either."""
+        text = self._text
+        if not self._from <= start <= self._to:
+            self._from = text.rfind("\n", 0, start) + 1
+            stop = text.find("\n", start)
+            self._to = stop if stop >= 0 else len(text)
+            found = [m.span() for m in _WORD.finditer(text, self._from, self._to)]
+            self._begins, self._ends = [a for a, _ in found], [b for _, b in found]
+        left, right = bisect_left(self._begins, start) - 1, bisect_right(self._ends, end)
+        before = text[self._begins[left] : min(self._ends[left], start)].lower() if left >= 0 else ""
+        after = text[max(self._begins[right], end) : self._ends[right]].lower() if right < len(self._ends) else ""
+        return f"{before} _ {after}" if before or after else None
 
 
 def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -127,12 +143,13 @@ def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 def _occurrences(text: str, base: list[Span]) -> list[tuple[str, str, str, int, int, bool]]:
     """(kind, pattern, instance, start, end, seed) of base spans, and of runs and tokens outside of them."""
-    out = [(k, p, text[a:b], a, b, True) for k, a, b in base if (p := _pattern(text, a, b))]
+    lines = _Lines(text)
+    out = [(k, p, text[a:b], a, b, True) for k, a, b in sorted(base, key=lambda s: s[1:]) if (p := lines.pattern(a, b))]
     if "@" not in text and not any(map(text.__contains__, "0123456789")):
         return out
     taken = sorted((a, b) for _, a, b in base)
     runs = [(k, a, b) for a, b in _runs(text, taken) if (k := _shape(text[a:b]))]
-    out += [(k, p, text[a:b], a, b, False) for k, a, b in runs if (p := _pattern(text, a, b))]
+    out += [(k, p, text[a:b], a, b, False) for k, a, b in runs if (p := lines.pattern(a, b))]
     taken = sorted([*taken, *((a, b) for _, a, b in runs)])
     at = 0
     for m in _TOKEN.finditer(text):
@@ -141,13 +158,11 @@ def _occurrences(text: str, base: list[Span]) -> list[tuple[str, str, str, int,
             continue
         while text[b - 1] in ".-+/" and b - a > 1:
             b -= 1
-        if b - a < LEAST_CHARS:
-            continue
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if at < len(taken) and taken[at][0] < b or not (kind := _shape(text[a:b])):
             continue
-        if p := _pattern(text, a, b):
+        if p := lines.pattern(a, b):
             out.append((kind, p, text[a:b], a, b, False))
     return out
 
@@ -156,15 +171,21 @@ _FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 _FIELDS = [c.split()[0] for c in _FOUND.split(", ")]
 
 
-def _scan(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        text = text if isinstance(text, str) else ""
-        base = base_spans(text)
-        line = joined(base)
-        seen = _occurrences(text, base)
-        rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(line.encode()).hexdigest(), line, *([x[i] for x in seen] for i in range(6))))
-    return pd.DataFrame(rows, columns=_FIELDS)
+def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Results leave in frames of about TOGETHER characters of text, however long a batch is."""
+    rows, size = [], 0
+    for texts in batches:
+        for text in texts:
+            text = text if isinstance(text, str) else ""
+            base = base_spans(text)
+            line = joined(base)
+            seen = _occurrences(text, base)
+            rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(line.encode()).hexdigest(), line, *([x[i] for x in seen] for i in range(6))))
+            size += len(text) + 64
+            if size >= TOGETHER:
+                yield pd.DataFrame(rows, columns=_FIELDS)
+                rows, size = [], 0
+    yield pd.DataFrame(rows, columns=_FIELDS)
 
 
 def _graph(found: DataFrame) -> DataFrame:
@@ -184,7 +205,7 @@ def pattern_confidence(found: DataFrame) -> DataFrame:
     edges = _graph(found)
     belief = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for k in range(ROUNDS):
-        held = edges.join(belief, "instance")
+        held = _in_salted(edges, belief, "instance")
         mass = F.sum("belief")
         scored = held.groupBy("pattern").agg(mass.alias("mass"), (mass / (F.count("*") + 1)).alias("confidence"))
         patterns = written(scored.select("pattern", F.when(F.col("mass") >= LEAST_SEEDS, F.col("confidence")).otherwise(0.0).alias("confidence")).filter("confidence > 0"), "patterns")
@@ -202,7 +223,7 @@ def _in_salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
 
 
 def _with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``df``, counts, base_sha256 and spans, in a column ``pii``."""
+    """The columns ``keep`` of ``df``, counts, base_sha256 and spans, in a column ``__pii``."""
     first = df.select(F.struct(*keep).alias("own"), F.monotonically_increasing_id().alias("row"), F.pandas_udf(_scan, _FOUND)(df[text]).alias("found"))
     first = written(first.select("own", "row", "found.*"), "pii")
     patterns = pattern_confidence(first).filter(F.col("confidence") >= CONFIDENCE).select("pattern")
@@ -218,21 +239,24 @@ def _with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     every = F.transform(F.concat(base, F.col("added")), lambda s: F.struct(F.array_position(order, s["kind"]).alias("n"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     line = F.array_join(F.transform(F.array_sort(every), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(line).alias("spans")
-    return first.join(added, "row", "left").select("own.*", F.struct("n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans).alias("pii"))
+    return first.join(added, "row", "left").select("own.*", F.struct("n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans).alias("__pii"))
 
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
 
     Counts and base_sha256 are of the fixed forms; ``spans`` adds what contexts
-    discover.  Offsets are in code points, ends exclusive.  Null texts are
-    empty; repeated rows give repeated rows; other columns are left out.
+    discover: an instance is looked for on its line, however long both are, but
+    a number is one only with LEAST_DIGITS digits.  Offsets are in code points,
+    ends exclusive.  Null texts are empty; repeated rows give repeated rows;
+    other columns are left out.
     """
-    return _with_spans(df, text, [key]).select(key, "pii.*")
+    return _with_spans(df, text, [key]).select(key, "__pii.*")
 
 
-def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([mask(t, s) if isinstance(t, str) and s else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+def _masked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, spans in batches:
+        yield pd.Series([mask(t, s) if isinstance(t, str) and s else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
 def mask(text: str, spans: str) -> str:
@@ -248,7 +272,7 @@ def mask(text: str, spans: str) -> str:
 def without_personal_data(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in texts are masked."""
     found = _with_spans(documents, "text", documents.columns)
-    text = F.pandas_udf(_masked, "string")(F.col("text"), F.col("pii.spans")).alias("text")
-    found = found.select(*(text if c == "text" else F.col(c) for c in documents.columns), F.col("pii.spans").alias("__spans"))
+    text = F.pandas_udf(_masked, "string")(F.col("text"), F.col("__pii.spans")).alias("text")
+    found = found.select(*(text if c == "text" else F.col(c) for c in documents.columns), F.col("__pii.spans").alias("__spans"))
     n = F.when(F.col("__spans") == "", F.col("n_chars")).otherwise(F.length("text")).alias("n_chars") if "n_chars" in documents.columns else None
     return found.select(*(n if c == "n_chars" else F.col(c) for c in documents.columns))
