@@ -2,11 +2,17 @@
 
 Questions are always a table, so one or ten thousand use the same plan.  Every
 order ends with the document's id, and scores are rounded to SCALE digits
-before they are compared.
+before they are compared.  An index (postings with their weights) is made by one
+scan of the texts, and can be kept as tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +22,10 @@ SCALE = 6
 K1, B = 1.5, 0.75
 RRF_C = 60
 TOP_DENSE, TOP_SPARSE, POOL, TOP_FINAL = 20, 20, 20, 5
+#: Rows of question tokens that are broadcast, parts of a frequent token's postings beyond that, and bytes of question vectors that go to every task at once.
+MOST_ASKED, SALTS, VECTOR_BYTES = 200_000, 16, 64 << 20
+
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
 def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -25,46 +35,65 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return ranked.select("query_id", "doc_id", F.col(score).alias("score"), "rank")
 
 
-def postings(documents: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, token, tf, len) and (docs, avglen); with ``wanted`` (token) only for those tokens.
+@dataclass(frozen=True)
+class Index:
+    """tokenised: doc_id, jurisdiction, len, tokens; stats: docs, avglen; postings: token, doc_id, jurisdiction, tf, len, df, weight."""
 
-    Lengths and the number of documents are of the whole corpus either way, and
-    only tokens that some question has leave the first stage.
-    """
-    own = documents.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    sizes = own.select("doc_id", F.size("tokens").alias("len"), "tokens")
-    stats = sizes.agg(F.count("*").alias("docs"), F.avg("len").alias("avglen"))
-    each = sizes.select("doc_id", "len", F.explode("tokens").alias("token"))
-    if wanted is not None:
-        each = each.join(wanted, "token", "left_semi")
-    return each.groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf")), stats
+    tokenised: DataFrame
+    stats: DataFrame
+    postings: DataFrame
 
 
-def bm25_scores(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a token.
+def index(documents: DataFrame, jurisdiction: Column | None = None, keep: Keep = lambda _, build: build()) -> Index:
+    """The index of documents (doc_id, text); ``keep(name, build)`` may write each of its tables.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a token's part is
-    tf / (tf + k1 (1 - b + b len / avglen)); a token repeated in a question
-    counts each time.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a posting's weight is
+    idf tf / (tf + k1 (1 - b + b len / avglen)).  Postings are dealt by ranges of
+    (token, doc_id): a frequent token is many files, and a reader of few tokens
+    skips the others by their bounds.
     """
-    asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    posts, stats = postings(documents, asked.select("token").distinct())
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = posts.join(df, "token").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    weighed = weighed.select("doc_id", "token", (idf * part).alias("weight"))
-    return weighed.join(asked, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), SCALE).alias("score"))
+    where = F.lit(None).cast("string") if jurisdiction is None else jurisdiction
+    found = tokens(F.col("text"))
+    tokenised = keep("tokenised", lambda: documents.select("doc_id", where.alias("jurisdiction"), found.alias("tokens")).select("doc_id", "jurisdiction", F.size("tokens").alias("len"), "tokens"))
+    stats = keep("corpus", lambda: tokenised.agg(F.count("*").alias("docs"), F.avg("len").alias("avglen")))
 
+    def weighed() -> DataFrame:
+        counted = keep("terms", lambda: tokenised.select("doc_id", "jurisdiction", "len", F.explode("tokens").alias("token")).groupBy("doc_id", "jurisdiction", "len", "token").agg(F.count("*").alias("tf")))
+        df = counted.groupBy("token").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
+        rows = counted.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+        return rows.select("token", "doc_id", "jurisdiction", "tf", "len", "df", (idf * part).alias("weight")).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
 
-def bm25_topk(documents: DataFrame, questions: DataFrame, k: int = TOP_SPARSE, allowed: Column | None = None) -> DataFrame:
-    """BM25's best k; ``allowed`` filters documents after scoring and before ranking."""
-    scored = bm25_scores(documents, questions)
-    if allowed is not None:
-        scored = scored.join(documents.filter(allowed).select("doc_id"), "doc_id", "left_semi")
+    return Index(tokenised, stats, keep("postings", weighed))
+
+
+def meeting(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``postings`` joined with ``asked`` (token, ...): broadcast if that has few rows, else with every token's postings in SALTS parts."""
+    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        return postings.join(F.broadcast(asked), "token")
+    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, ["token", "salt"]).drop("salt")
+
+
+def asked_tokens(questions: DataFrame) -> DataFrame:
+    """query_id, token, qtf: a token repeated in a question counts each time."""
+    return questions.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def bm25_from(postings: DataFrame, questions: DataFrame, k: int = TOP_SPARSE, allowed: Column | None = None) -> DataFrame:
+    """BM25's best k from an index; ``allowed`` (over the postings' columns) leaves documents out before any is scored, weights are the corpus's."""
+    rows = postings if allowed is None else postings.filter(allowed)
+    scored = meeting(rows, asked_tokens(questions)).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), SCALE).alias("score"))
     return top(scored.filter("score > 0"), k)
 
 
+def bm25_topk(documents: DataFrame, questions: DataFrame, k: int = TOP_SPARSE, allowed: Column | None = None) -> DataFrame:
+    """BM25's best k of documents that have no index yet; ``allowed`` is over the documents' columns."""
+    made = index(documents if allowed is None else documents.withColumn("__allowed", allowed.cast("string")), None if allowed is None else F.col("__allowed"))
+    return bm25_from(made.postings, questions, k, None if allowed is None else F.col("jurisdiction") == "true")
+
+
 def unit(vector: Column) -> Column:
     """Components as double, divided by the norm."""
     x = F.transform(vector, lambda c: c.cast("double"))
@@ -80,10 +109,58 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.sqrt(norms)
 
 
-def dense_scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of every question vector against every vector (a stated query set, exact)."""
-    pairs = vectors.select("doc_id", F.col("vector").alias("v")).crossJoin(F.broadcast(asked.select("query_id", F.col("vector").alias("q"))))
-    return pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), SCALE).alias("score"))
+def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the questions, VECTOR_BYTES at most at a time."""
+    rows = asked.select("query_id", unit(F.col("vector")).alias("vector")).filter("vector IS NOT NULL AND size(vector) > 0")
+    found = rows.agg(F.sum(8 * F.size("vector")).alias("bytes")).first()
+    parts = -(-(found.bytes or 0) // VECTOR_BYTES)
+    for part in range(parts):
+        some = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        by: dict[int, list] = {}
+        for r in some.collect():
+            by.setdefault(len(r.vector), []).append(r)
+        for own in by.values():
+            yield np.array([r.query_id for r in own]), np.array([r.vector for r in own])
+
+
+def dense_scores(vectors: DataFrame, asked: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of every question vector against every vector (a stated query set, exact), by blocks.
+
+    With ``k``, of each batch of vectors only those that can be among a
+    question's best k leave the task.  Null, empty and zero vectors have no score.
+    """
+    spark, out = vectors.sparkSession, None
+
+    def products(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, block = shared.value
+            for batch in batches:
+                fit = [i for i, v in enumerate(batch["vector"]) if v is not None and len(v) == block.shape[1]]
+                own = batch["doc_id"].to_numpy()[fit]
+                x = np.array([batch["vector"].iloc[i] for i in fit], np.float64).reshape(len(fit), block.shape[1])
+                norms = np.sqrt((x * x).sum(axis=1))
+                own, x = own[norms > 0], x[norms > 0] / norms[norms > 0, None]
+                for at in range(0, len(ids), 256):
+                    scores = x @ block[at : at + 256].T
+                    keep = np.isfinite(scores)
+                    if k is not None and len(own) > k:
+                        keep &= scores >= np.partition(scores, len(own) - k, axis=0)[len(own) - k] - 10.0**-SCALE
+                    i, j = np.nonzero(keep)
+                    yield pd.DataFrame({"query_id": ids[at + j], "doc_id": own[i], "score": scores[i, j]})
+
+        return run
+
+    for ids, block in _blocks(asked):
+        part = vectors.select("doc_id", "vector").mapInPandas(products(spark.sparkContext.broadcast((ids, block))), "query_id long, doc_id long, score double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    return out.withColumn("score", F.round("score", SCALE))
+
+
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int = TOP_DENSE) -> DataFrame:
+    """The best k cosines of every question."""
+    return top(dense_scores(vectors, asked, k), k)
 
 
 def similarities(vectors: DataFrame, asked: DataFrame, named: DataFrame) -> DataFrame:
@@ -110,11 +187,18 @@ def windows(content: Column, query_len: Column, header_len: Column, limit: int =
     return F.transform(starts, lambda s: F.slice(words, s + 1, budget))
 
 
-def overlap_rerank(pairs: DataFrame) -> DataFrame:
-    """A deterministic stand-in for a cross-encoder: the share of the question's distinct tokens that the passage has.
+def overlap(question: Column, passage: Column) -> Column:
+    """A deterministic stand-in for a cross-encoder: the share of the question's distinct tokens that the passage has."""
+    q = F.array_distinct(question)
+    return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, F.array_distinct(passage))) / F.size(q), SCALE)).otherwise(0.0)
+
+
+def window_rerank(pairs: DataFrame) -> DataFrame:
+    """The score of each pair's best window.
 
-    pairs: query_id, doc_id, query_text, doc_text.
+    pairs: query_id, doc_id, query_text, doc_text.  A passage is cut into windows
+    that leave room for the question; without text it scores 0.
     """
-    q, d = F.array_distinct(tokens(F.col("query_text"))), F.array_distinct(tokens(F.col("doc_text")))
-    score = F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, d)) / F.size(q), SCALE)).otherwise(0.0)
-    return pairs.select("query_id", "doc_id", score.alias("score"))
+    cut = pairs.select("query_id", "doc_id", tokens(F.col("query_text")).alias("q"), F.explode_outer(windows(F.col("doc_text"), F.size(F.split("query_text", r"\s+")), F.lit(0))).alias("words"))
+    scored = cut.select("query_id", "doc_id", overlap(F.col("q"), tokens(F.array_join(F.coalesce("words", F.array().cast("array<string>")), " "))).alias("score"))
+    return scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import tokens
 from citeloom.operators import evaluate, gate, rank
 from citeloom.plans.base import query, table
-from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, TOKENS_SQL, bm25_list, dense_list, modes, questions
+from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, TOKENS_SQL, bm25_list, dense_list, modes, questions, search_index
+from citeloom.sources.saved import saved
 
 EXPECTED_SQL = "expected AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 SCORED_SQL = f"""{TOKENS_SQL}, {DENSE_SQL}, {EXPECTED_SQL}, scored AS (
@@ -22,21 +23,35 @@ SCORED_SQL = f"""{TOKENS_SQL}, {DENSE_SQL}, {EXPECTED_SQL}, scored AS (
     )"""
 
 
-def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Items without a token that are sought in all texts at once.
+SHORT_ITEMS = 500
+
+
+def find_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id) of documents that contain an item's text.
 
-    Whoever contains the text contains its rarest inner token, so only those documents are searched.
+    Whoever contains the text contains its rarest inner token, so only those
+    documents are searched; items without a token are sought SHORT_ITEMS at a time.
     """
     documents, items = table(spark, sf_dir, "documents").filter("text IS NOT NULL"), questions(spark, sf_dir).filter("text IS NOT NULL")
     inner = F.expr("slice(tokens, 2, greatest(size(tokens) - 2, 1))")  # the first and the last may be parts of longer words
     asked = items.withColumn("tokens", tokens(F.col("text"))).select("query_id", F.explode_outer(F.array_distinct(inner)).alias("token"))
-    posts, _ = rank.postings(documents, asked.select("token").distinct())
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
+    posts = rank.meeting(search_index(spark, sf_dir).postings.select("token", "doc_id", "df"), asked.select("token").filter("token IS NOT NULL").distinct())
+    df = posts.groupBy("token").agg(F.max("df").alias("df"))
     rarest = asked.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    near = posts.select("doc_id", "token").join(rarest, "token").join(items.withColumnRenamed("text", "wanted"), "query_id").join(documents.select("doc_id", "text"), "doc_id")
-    short = items.join(rarest, "query_id", "left_anti").withColumnRenamed("text", "wanted").filter(F.size(tokens(F.col("wanted"))) == 0)
-    rest = documents.select("doc_id", "text").join(F.broadcast(short), F.contains(F.col("text"), F.col("wanted")))  # items without a token
-    return near.filter(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "doc_id").union(rest.select("query_id", "doc_id"))
+    near = rank.meeting(search_index(spark, sf_dir).postings.select("token", "doc_id"), rarest).join(items.withColumnRenamed("text", "wanted"), "query_id").join(documents.select("doc_id", "text"), "doc_id")
+    found = near.filter(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "doc_id")
+    short = [(r.query_id, r.text) for r in items.filter(F.size(tokens(F.col("text"))) == 0).collect()]
+    for at in range(0, len(short), SHORT_ITEMS):
+        some = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(t).alias("wanted")) for i, t in short[at : at + SHORT_ITEMS]))
+        hits = documents.select("doc_id", F.explode(F.filter(some, lambda s: F.contains(F.col("text"), s["wanted"]))).alias("s"))
+        found = found.union(hits.select("s.id", "doc_id"))
+    return found
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved table of ``find_expected``."""
+    return saved(spark, "expected", [table(spark, sf_dir, t) for t in ("documents", "benchmark")], lambda: find_expected(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +66,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EXPECTED_SQL} SELECT * FROM expected")
 def expected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expected(spark, sf_dir)
+    return find_expected(spark, sf_dir)
 
 
 @query(f"WITH {SCORED_SQL} SELECT id, in_scope, score, rew FROM scored")

@@ -1,4 +1,9 @@
-"""Ranking queries: documents are chunks, benchmark items are questions, lang is the jurisdiction."""
+"""Ranking queries: documents are chunks, benchmark items are questions, lang is the jurisdiction.
+
+The index, unit vectors and the ranked lists of all questions are saved tables:
+the texts are read once for each state of the tables, and modes, gates and
+metrics are derived from the lists.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import STOPWORDS, tokens
 from citeloom.operators import rank
 from citeloom.plans.base import query, table
+from citeloom.sources.saved import saved
 
 #: Gates of the three modes; equality passes.
 THRESHOLDS = {"dense": 0.3, "hybrid": 0.3, "hybrid_rerank": 0.5}
@@ -63,56 +69,66 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "vector")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> rank.Index:
+    """The saved index of the documents, by language."""
+    documents = table(spark, sf_dir, "documents")
+    return rank.index(documents.select("doc_id", "text", "lang"), F.col("lang"), lambda name, build: saved(spark, name, [documents], build, "lang"))
+
+
+def _list(spark: SparkSession, sf_dir: str, name: str, tables: str, build) -> DataFrame:
+    return saved(spark, name, [table(spark, sf_dir, t) for t in tables.split()], build)
+
+
 def bm25_list(spark: SparkSession, sf_dir: str, k: int = rank.TOP_SPARSE) -> DataFrame:
-    return rank.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), k)
+    """The saved sparse list of all questions, cut at k."""
+    whole = _list(spark, sf_dir, "sparse-list", "documents benchmark", lambda: rank.bm25_from(search_index(spark, sf_dir).postings, questions(spark, sf_dir)))
+    return whole.filter(F.col("rank") <= k)
 
 
 def dense_list(spark: SparkSession, sf_dir: str, k: int = rank.TOP_DENSE) -> DataFrame:
-    return rank.top(rank.dense_scores(vectors(spark, sf_dir), question_vectors(spark, sf_dir)), k)
+    """The saved dense list of all questions, cut at k."""
+    whole = _list(spark, sf_dir, "dense-list", "embeddings benchmark", lambda: rank.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir)))
+    return whole.filter(F.col("rank") <= k)
 
 
 @query(f"WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 5)} SELECT * FROM t")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_list(spark, sf_dir, 5)
+    return rank.bm25_from(search_index(spark, sf_dir).postings, questions(spark, sf_dir), 5)
 
 
 @query(f"WITH {TOKENS_SQL}, f AS (SELECT b.* FROM bm25 b JOIN documents d USING (doc_id) WHERE d.lang IN ('fr', 'en')), {top_sql('t', 'f', 5)} SELECT * FROM t")
 def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return rank.bm25_topk(documents, questions(spark, sf_dir), 5, documents["lang"].isin("fr", "en"))
+    return rank.bm25_from(search_index(spark, sf_dir).postings, questions(spark, sf_dir), 5, F.col("jurisdiction").isin("fr", "en"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT q.query_id, t.token, count(*) AS docs, sum(t.tf) AS hits FROM (SELECT DISTINCT query_id, token FROM qtok) q JOIN tf t ON t.token = q.token GROUP BY q.query_id, t.token")
 def token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    posts, _ = rank.postings(table(spark, sf_dir, "documents"), asked.select("token").distinct())
-    by = posts.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("hits"))
+    by = rank.meeting(search_index(spark, sf_dir).postings.select("token", "doc_id", "tf"), asked.select("token").distinct()).groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("hits"))
     return asked.join(by, "token").select("query_id", "token", "docs", "hits")
 
 
 @query(f"WITH {TOKENS_SQL} SELECT token, df, round(ln(1 + (docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, corpus")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, stats = rank.postings(table(spark, sf_dir, "documents"))
-    df = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    made = search_index(spark, sf_dir)
+    df = made.postings.groupBy("token").agg(F.max("df").alias("df")).crossJoin(F.broadcast(made.stats))  # one row
     return df.select("token", "df", F.round(F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT d.doc_id, l.len AS n_tokens, (SELECT count(DISTINCT token) FROM tok t WHERE t.doc_id = d.doc_id) AS n_distinct FROM documents d JOIN doclen l USING (doc_id)")
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct"))
+    return search_index(spark, sf_dir).tokenised.select("doc_id", F.col("len").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {DENSE_SQL}, {top_sql('t', 'dense', 5)} SELECT * FROM t")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_list(spark, sf_dir, 5)
+    return rank.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 5)
 
 
 @query(f"WITH {DENSE_SQL}, f AS (SELECT x.* FROM dense x JOIN documents d USING (doc_id) WHERE d.lang IN ('de', 'en') AND coalesce(d.source, '') NOT IN ('src3', 'src4')), {top_sql('t', 'f', 5)} SELECT * FROM t")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     admitted = table(spark, sf_dir, "documents").filter(F.col("lang").isin("de", "en") & ~F.coalesce("source", F.lit("")).isin("src3", "src4")).select("doc_id")
-    scored = rank.dense_scores(vectors(spark, sf_dir).join(admitted, "doc_id", "left_semi"), question_vectors(spark, sf_dir))
-    return rank.top(scored, 5)
+    return rank.dense_topk(vectors(spark, sf_dir).join(admitted, "doc_id", "left_semi"), question_vectors(spark, sf_dir), 5)
 
 
 @query(f"WITH {TOKENS_SQL}, {DENSE_SQL}, {top_sql('t', 'bm25', 20)} SELECT t.query_id, t.doc_id, x.score FROM t JOIN dense x ON x.query_id = t.query_id AND x.doc_id = t.doc_id")
@@ -132,27 +148,37 @@ FUSED_SQL = f"""{TOKENS_SQL}, {DENSE_SQL}, {top_sql('b20', 'bm25', 20)}, {top_sq
 
 
 def fused_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.top(rank.rrf(bm25_list(spark, sf_dir), dense_list(spark, sf_dir)), rank.POOL)
+    """The saved pool of all questions."""
+    return _list(spark, sf_dir, "fused-list", "documents embeddings benchmark", lambda: rank.top(rank.rrf(bm25_list(spark, sf_dir), dense_list(spark, sf_dir)), rank.POOL))
 
 
 @query(f"WITH {FUSED_SQL} SELECT * FROM pool")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused_list(spark, sf_dir)
+    return rank.top(rank.rrf(bm25_list(spark, sf_dir), dense_list(spark, sf_dir)), rank.POOL)
 
 
-RERANK_SQL = """
-    qset AS (SELECT b.item_id AS query_id, list_distinct(coalesce(list(q.token) FILTER (WHERE q.token IS NOT NULL), [])) AS q FROM benchmark b LEFT JOIN qtok q ON q.query_id = b.item_id GROUP BY b.item_id),
-    dset AS (SELECT d.doc_id, list_distinct(coalesce(list(t.token) FILTER (WHERE t.token IS NOT NULL), [])) AS d FROM documents d LEFT JOIN tok t ON t.doc_id = d.doc_id GROUP BY d.doc_id),
+RERANK_SQL = f"""
+    qset AS (SELECT b.item_id AS query_id, list_distinct(coalesce(list(q.token) FILTER (WHERE q.token IS NOT NULL), [])) AS q, any_value(greatest(512 - 4 - 8 - len(string_split_regex(b.text, '\\s+')), 128)) AS budget
+        FROM benchmark b LEFT JOIN qtok q ON q.query_id = b.item_id GROUP BY b.item_id),
+    wset AS (SELECT p.query_id, p.doc_id, q.q, q.budget, string_split_regex(coalesce(d.text, ''), '\\s+') AS words FROM pool p JOIN qset q USING (query_id) JOIN documents d USING (doc_id)),
+    sset AS (SELECT *, unnest(CASE WHEN len(words) <= budget THEN [0] ELSE list_append(list_filter(range(0, len(words) - budget, greatest(1, budget // 2)), lambda x: x < len(words) - budget), len(words) - budget) END) AS start FROM wset),
+    dset AS (SELECT *, list_distinct(flatten(list_transform(
+            list_filter(regexp_extract_all(lower(array_to_string(words[start + 1 : start + budget], ' ')), '[0-9]+[a-z]*(?:\\([0-9]+[a-z]?\\))*|[a-z]+'), lambda t: NOT list_contains([{_STOP}], t)),
+            lambda t: CASE WHEN contains(t, '(') THEN [t, split_part(t, '(', 1)] ELSE [t] END))) AS d FROM sset),
     rescored AS (
-        SELECT p.query_id, p.doc_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END AS score
-        FROM pool p JOIN qset USING (query_id) JOIN dset USING (doc_id)
+        SELECT query_id, doc_id, max(CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END) AS score FROM dset GROUP BY query_id, doc_id
     )"""
 
 
 def reranked(spark: SparkSession, sf_dir: str, pool: DataFrame) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
     pairs = pool.select("query_id", "doc_id").join(questions(spark, sf_dir).withColumnRenamed("text", "query_text"), "query_id").join(texts, "doc_id")
-    return rank.overlap_rerank(pairs)
+    return rank.window_rerank(pairs)
+
+
+def final_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved re-ranked pool of all questions."""
+    return _list(spark, sf_dir, "final-list", "documents embeddings benchmark", lambda: rank.top(reranked(spark, sf_dir, fused_list(spark, sf_dir)), rank.POOL))
 
 
 @query(f"WITH {FUSED_SQL}, {RERANK_SQL}, {top_sql('t', 'rescored', 5)} SELECT * FROM t")
@@ -173,7 +199,7 @@ MODES_SQL = f"""{FUSED_SQL}, {RERANK_SQL}, {top_sql('h5', 'fused', 5)}, {top_sql
 def modes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(mode, query_id, doc_id, score, rank) and (mode, query_id, gate) of the three modes."""
     dense, fused = dense_list(spark, sf_dir), fused_list(spark, sf_dir)
-    hybrid, again = fused.filter(F.col("rank") <= rank.TOP_FINAL), rank.top(reranked(spark, sf_dir, fused), rank.TOP_FINAL)
+    hybrid, again = (rows.filter(F.col("rank") <= rank.TOP_FINAL) for rows in (fused, final_list(spark, sf_dir)))
     own = rank.similarities(vectors(spark, sf_dir), question_vectors(spark, sf_dir), hybrid)
     hybrid_gate = hybrid.select("query_id").distinct().join(own, "query_id", "left")
     named = {"dense": (dense.filter(F.col("rank") <= rank.TOP_FINAL), dense), "hybrid": (hybrid, hybrid_gate), "hybrid_rerank": (again, again)}
@@ -206,7 +232,7 @@ def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MODES_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r5) WHERE score >= 0.8 * best")
 def relevance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = rank.top(reranked(spark, sf_dir, fused_list(spark, sf_dir)), rank.TOP_FINAL)
+    ranked = final_list(spark, sf_dir).filter(F.col("rank") <= rank.TOP_FINAL)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("best", best).filter(F.col("score") >= 0.8 * F.col("best")).drop("best")
 
@@ -219,7 +245,7 @@ WATCH_SQL = f"WITH {FUSED_SQL}, {RERANK_SQL}, {top_sql('r20', 'rescored', 20)}"
     LEFT JOIN r20 r ON r.query_id = p.query_id AND r.doc_id = p.doc_id""")
 def watch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fused_list(spark, sf_dir)
-    lists = {"dense_rank": dense_list(spark, sf_dir), "sparse_rank": bm25_list(spark, sf_dir), "final_rank": rank.top(reranked(spark, sf_dir, fused), rank.POOL)}
+    lists = {"dense_rank": dense_list(spark, sf_dir), "sparse_rank": bm25_list(spark, sf_dir), "final_rank": final_list(spark, sf_dir)}
     out = fused.select("query_id", "doc_id", F.col("rank").alias("fused_rank"))
     for name, one in lists.items():
         out = out.join(one.select("query_id", "doc_id", F.col("rank").alias(name)), ["query_id", "doc_id"], "left")
@@ -242,11 +268,11 @@ def section_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top(rows.withColumn("score", F.max("score").over(Window.partitionBy("query_id", "source"))), 5)
 
 
-@query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)} SELECT t.query_id, t.rank, d.doc_id, d.lang AS jurisdiction, d.source AS statute, left(d.text, 40) AS content, d.n_chars
+@query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)} SELECT t.query_id, t.rank, d.doc_id, d.lang AS jurisdiction, d.source AS statute, d.text AS content, d.n_chars
     FROM t JOIN documents d USING (doc_id)""")
 def lookup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    own = documents.select("doc_id", F.col("lang").alias("jurisdiction"), F.col("source").alias("statute"), F.substring("text", 1, 40).alias("content"), "n_chars")
+    own = documents.select("doc_id", F.col("lang").alias("jurisdiction"), F.col("source").alias("statute"), F.col("text").alias("content"), "n_chars")
     return bm25_list(spark, sf_dir, 3).join(own, "doc_id").select("query_id", "rank", "doc_id", "jurisdiction", "statute", "content", "n_chars")
 
 

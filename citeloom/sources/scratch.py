@@ -10,12 +10,17 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``, or in a local folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the warehouse; only a session in one local process gets a temporary folder."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         base = _OWN[app]
-    return f"{base.rstrip('/')}/citeloom/{name}-{uuid.uuid4().hex}"
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/citeloom"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
