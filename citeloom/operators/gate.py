@@ -1,15 +1,15 @@
 """Abstention: the gate, its calibration, and cross-validated rules over two scores.
 
-Scored items are a table (id, in_scope, score or orig and rew).  Gold questions
-are labelled by hand, so rule tuning handles one fold's items at a time.
+Scored items are a table (id, in_scope, score or orig and rew).  Every parameter
+is an order statistic: counts by distinct score, for all folds side by side,
+their running sums, and the first score at which a sum is enough.  A fold's
+parameters come from the other folds, whose counts are conditions, not copies.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +43,43 @@ def roc_auc(items: DataFrame) -> DataFrame:
     return wins.agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
-def order_statistic(items: DataFrame, budget: float = BUDGET, by: Iterable[str] = ()) -> DataFrame:
-    """threshold: the in-scope score at index min(int(budget n + 1e-9), n - 1), ascending, per group."""
-    inside = items.filter("in_scope")
-    n, at = F.count("*").over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy("score", "id"))
-    wanted = F.least(F.floor(F.col("n") * budget + 1e-9), F.col("n") - 1) + 1
-    return inside.withColumns({"n": n, "at": at}).filter(F.col("at") == wanted).select(*by, F.col("score").alias("threshold"))
+def _nth(rows: DataFrame, score: Column, within: list[Column], wanted: list[Column], largest: bool = False) -> DataFrame:
+    """One row, v0, v1 ...: the wanted-th smallest (or largest) score among the rows within each condition.
+
+    ``wanted`` is over n0, n1 ..., the rows within each; null where there are fewer.
+    """
+    by = rows.groupBy(score.alias("s")).agg(*(F.count_if(c).alias(f"c{i}") for i, c in enumerate(within)))
+    first = F.desc("s") if largest else F.asc("s")
+    so_far = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
+    every = by.agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(within))))
+    sums = by.select("s", *(F.sum(f"c{i}").over(so_far).alias(f"c{i}") for i in range(len(within)))).join(F.broadcast(every), F.lit(True), "right")  # one row
+    best = F.max if largest else F.min
+    return sums.agg(*(best(F.when(F.col(f"c{i}") >= w, F.col("s"))).alias(f"v{i}") for i, w in enumerate(wanted)))
+
+
+def _budget_place(n: Column, budget: float) -> Column:
+    return F.least(F.floor(n * budget + 1e-9), n - 1) + 1
+
+
+def _share_place(n: Column, share: float) -> Column:
+    return F.ceil(n * share - 1e-9)
+
+
+def order_statistic(items: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """threshold: the in-scope score at index min(int(budget n + 1e-9), n - 1), ascending; no row without in-scope items."""
+    found = _nth(items.filter("in_scope"), F.col("score"), [F.lit(True)], [_budget_place(F.col("n0"), budget)])
+    return found.select(F.col("v0").alias("threshold")).filter("threshold IS NOT NULL")
 
 
 def next_up(score: Column) -> Column:
-    """The next larger double."""
-    return F.call_function("reflect", F.lit("java.lang.Math"), F.lit("nextUp"), score).cast("double")
+    """The next larger double; null of null."""
+    return F.when(score.isNotNull(), F.call_function("reflect", F.lit("java.lang.Math"), F.lit("nextUp"), score).cast("double"))
 
 
-def out_of_scope_threshold(items: DataFrame, by: Iterable[str] = (), share: float = MIN_DECLINED) -> DataFrame:
-    """threshold: the next double above the k-th out-of-scope score, k = ceil(share n - 1e-9)."""
-    outside = items.filter("NOT in_scope")
-    n, at = F.count("*").over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy("score", "id"))
-    found = outside.withColumns({"n": n, "at": at}).filter(F.col("at") == F.ceil(F.col("n") * share - 1e-9))
-    return found.select(*by, next_up(F.col("score")).alias("threshold"))
+def out_of_scope_threshold(items: DataFrame, share: float = MIN_DECLINED) -> DataFrame:
+    """threshold: the next double above the k-th out-of-scope score, k = ceil(share n - 1e-9); no row without such items."""
+    found = _nth(items.filter("NOT in_scope"), F.col("score"), [F.lit(True)], [_share_place(F.col("n0"), share)])
+    return found.filter("v0 IS NOT NULL").select(next_up(F.col("v0")).alias("threshold"))
 
 
 def folds(items: DataFrame, k: int = FOLDS) -> DataFrame:
@@ -69,64 +87,73 @@ def folds(items: DataFrame, k: int = FOLDS) -> DataFrame:
     return items.withColumn("fold", ((F.row_number().over(Window.partitionBy("in_scope").orderBy("id")) - 1) % k).cast("int"))
 
 
+def _by_fold(row: DataFrame, k: int, **parameters: str) -> DataFrame:
+    """One row's columns name0, name1 ... as a row for each fold."""
+    each = F.array(*(F.struct(F.lit(f).cast("int").alias("fold"), *(F.col(f"{c}{f}").alias(name) for name, c in parameters.items())) for f in range(k)))
+    return row.select(F.explode(each).alias("p")).select("p.*")
+
+
 def kfold_abstention(items: DataFrame, budget: float = BUDGET, k: int = FOLDS) -> tuple[DataFrame, DataFrame]:
     """(fold, threshold), tuned on the other folds, and the pooled rates of all items under their own fold's threshold."""
     placed = folds(items, k)
-    numbers = placed.sparkSession.range(k).select(F.col("id").cast("int").alias("test"))
-    train = placed.crossJoin(F.broadcast(numbers)).filter("fold <> test")  # k rows
-    tuned = order_statistic(train, budget, ["test"]).withColumnRenamed("test", "fold")
+    others = [F.col("in_scope") & (F.col("fold") != f) for f in range(k)]
+    tuned = _by_fold(_nth(placed, F.col("score"), others, [_budget_place(F.col(f"n{f}"), budget) for f in range(k)]), k, threshold="v").filter("threshold IS NOT NULL")
     declined = (F.col("score") < F.col("threshold")).cast("double")
-    pooled = placed.join(tuned, "fold").agg(F.avg(F.when(F.col("in_scope"), declined)).alias("in_declined"), F.avg(F.when(~F.col("in_scope"), declined)).alias("out_declined"))
+    pooled = placed.join(F.broadcast(tuned), "fold").agg(F.avg(F.when(F.col("in_scope"), declined)).alias("in_declined"), F.avg(F.when(~F.col("in_scope"), declined)).alias("out_declined"))  # a row for each fold
     return tuned, pooled
 
 
-def decides(rule: str, orig: float, rew: float, p: dict[str, float]) -> tuple[bool, str]:
-    """Whether a rule lets an item pass, and by which score."""
-    if rule == "rewrite":
-        return rew >= p["t"], "rew"
-    if rule == "max":
-        return max(orig, rew) >= p["t"], "orig" if orig >= rew else "rew"
-    if rule == "or_strict":
-        return (True, "orig") if orig >= p["t_o"] else (rew >= p["t_r"], "rew")
-    if rule == "band":
-        return (True, "orig") if orig >= p["t"] else (p["low"] <= orig and rew >= p["t"], "rew")
-    return orig >= p["t"], "orig"
-
-
-def _above_kth(scores: list[float]) -> float:
-    kept = sorted(scores)
-    return math.nextafter(kept[math.ceil(MIN_DECLINED * len(kept) - 1e-9) - 1], math.inf) if kept else -math.inf
-
-
-def tune(rule: str, train: list[tuple[bool, float, float]]) -> dict[str, float]:
-    """Parameters of a rule on (in_scope, orig, rew): the loosest that declines MIN_DECLINED of the out-of-scope items."""
-    out = [(o, r) for inside, o, r in train if not inside]
-    own = {"rewrite": [r for _, r in out], "max": [max(x) for x in out]}.get(rule, [o for o, _ in out])
-    t = _above_kth(own)
-    enough = math.ceil(MIN_DECLINED * len(out) - 1e-9)
-
-    def first(name: str, base: dict[str, float], tried: Iterable[float]) -> dict[str, float]:
-        options = [base | {name: x} for x in sorted(set(tried))]
-        return next(p for p in options if sum(not decides(rule, o, r, p)[0] for o, r in out) >= enough)
+def rule_parameters(placed: DataFrame, rule: str, k: int = FOLDS) -> DataFrame:
+    """fold, t and other: the loosest parameters of a rule that decline MIN_DECLINED of the other folds' out-of-scope items.
 
+    t is the next double above the k-th smallest of the rule's own score.
+    ``other`` is, for or_strict, what the rewritten score must reach where the
+    original does not reach t: t, or the next double above the k-th smallest
+    rewritten score of the items declined by the original if that is more.  For
+    band it is the least original score from which a rewritten score of t is
+    enough: of the declined items that the rewritten score would let in, all but
+    as many as may be let in must stay below it, and it is an item's score or t.
+    """
+    score = {"rewrite": F.col("rew"), "max": F.greatest("orig", "rew")}.get(rule, F.col("orig"))
+    low, high = F.lit(-math.inf), F.lit(math.inf)
+    outside = placed.filter("NOT in_scope")
+    other = [F.col("fold") != f for f in range(k)]
+    place = [_share_place(F.col(f"n{f}"), MIN_DECLINED) for f in range(k)]
+    found = _nth(outside, score, other, place)
+    base = found.select(*(F.coalesce(next_up(F.col(f"v{f}")), low).alias(f"t{f}") for f in range(k)))
+    if rule not in ("or_strict", "band"):
+        return _by_fold(base, k, t="t").withColumn("other", F.lit(None).cast("double"))
+    enough = outside.agg(*(_share_place(F.count_if(other[f]), MIN_DECLINED).alias(f"k{f}") for f in range(k)))
+    known = base.join(F.broadcast(enough), F.lit(True))  # one row each
+    declined = [other[f] & (F.col("orig") < F.col(f"t{f}")) for f in range(k)]
+    beside = outside.join(F.broadcast(known), F.lit(True))
     if rule == "or_strict":
-        return first("t_r", {"t_o": t}, [t, math.inf, *(math.nextafter(r, math.inf) for _, r in out if r >= t)])
-    if rule == "band":
-        return first("low", {"t": t}, [*(o for _, o, _ in train if o < t), t])
-    return {"t": t}
+        # the k-th smallest: as wanted is over the counts of ``declined``, of which there are k at least
+        wanted = beside.agg(*(F.max(f"k{f}").alias(f"k{f}") for f in range(k))).first()
+        second = _nth(beside, F.col("rew"), declined, [F.lit(wanted[f"k{f}"] or 0) for f in range(k)])
+        row = base.join(F.broadcast(second), F.lit(True)).select(*(F.col(f"t{f}") for f in range(k)), *(F.greatest(F.col(f"t{f}"), F.coalesce(next_up(F.col(f"v{f}")), low)).alias(f"o{f}") for f in range(k)))
+        return _by_fold(row, k, t="t", other="o")
+    rescued = [declined[f] & (F.col("rew") >= F.col(f"t{f}")) for f in range(k)]
+    spare = beside.agg(*((F.count_if(declined[f]) - F.max(f"k{f}")).alias(f"m{f}") for f in range(k))).first()
+    below = _nth(beside, F.col("orig"), rescued, [F.lit((spare[f"m{f}"] or 0) + 1) for f in range(k)], largest=True)
+    row = known.join(F.broadcast(below), F.lit(True))
+    every = placed.join(F.broadcast(row), F.lit(True))
+    floor = [F.when(other[f] & (F.col("orig") < F.col(f"t{f}")) & (F.col("orig") > F.coalesce(F.col(f"v{f}"), low)), F.col("orig")) for f in range(k)]
+    row = every.agg(*(F.max(f"t{f}").alias(f"t{f}") for f in range(k)), *(F.least(F.coalesce(F.min(floor[f]), high), F.max(f"t{f}")).alias(f"o{f}") for f in range(k)))
+    return _by_fold(row, k, t="t", other="o")
 
 
 def rule_votes(items: DataFrame, rule: str, k: int = FOLDS) -> DataFrame:
     """id, in_scope, fold, passed and source of every item (id, in_scope, orig, rew) under its fold's parameters."""
     placed = folds(items.select("id", "in_scope", "orig", "rew"), k)
-    numbers = placed.sparkSession.range(k).select(F.col("id").cast("int").alias("test"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf["test"].iloc[0]
-        rest, own = pdf[pdf["fold"] != test], pdf[pdf["fold"] == test]
-        p = tune(rule, list(zip(rest["in_scope"], rest["orig"], rest["rew"], strict=True)))
-        votes = [decides(rule, o, r, p) for o, r in zip(own["orig"], own["rew"], strict=True)]
-        return pd.DataFrame({"id": own["id"].to_numpy(), "in_scope": own["in_scope"].to_numpy(), "fold": own["fold"].to_numpy(), "passed": [bool(v) for v, _ in votes], "source": [s for _, s in votes]})
-
-    kind = placed.schema["id"].dataType.simpleString()
-    return placed.crossJoin(F.broadcast(numbers)).groupBy("test").applyInPandas(run, f"id {kind}, in_scope boolean, fold int, passed boolean, source string")
+    orig, rew, t, other = map(F.col, ("orig", "rew", "t", "other"))
+    votes = {
+        "baseline": (orig >= t, F.lit("orig")),
+        "rewrite": (rew >= t, F.lit("rew")),
+        "max": (F.greatest(orig, rew) >= t, F.when(orig >= rew, "orig").otherwise("rew")),
+        "or_strict": ((orig >= t) | (rew >= other), F.when(orig >= t, "orig").otherwise("rew")),
+        "band": ((orig >= t) | ((orig >= other) & (rew >= t)), F.when(orig >= t, "orig").otherwise("rew")),
+    }
+    passed, source = votes[rule]
+    tuned = rule_parameters(placed, rule, k)
+    return placed.join(F.broadcast(tuned), "fold").select("id", "in_scope", "fold", passed.alias("passed"), source.alias("source"))  # a row for each fold

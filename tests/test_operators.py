@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,15 +89,39 @@ def test_kfold(spark):
     assert gate.kfold_abstention(items)[1].collect()[0].in_declined == pytest.approx(0.1)
 
 
-def test_rules():
-    assert gate.decides("baseline", 0.5, 0.0, {"t": 0.5}) == (True, "orig")
-    assert gate.decides("max", 0.2, 0.6, {"t": 0.5}) == (True, "rew")
-    assert gate.decides("or_strict", 0.2, 0.6, {"t_o": 0.5, "t_r": 0.7}) == (False, "rew")
-    assert gate.decides("band", 0.2, 0.6, {"t": 0.5, "low": 0.3}) == (False, "rew")
-    train = [(False, i / 10, (9 - i) / 10) for i in range(10)] + [(True, 0.9, 0.9)]
+def loosest(rule, rest):
+    """(t, other) by trying every score and the double above it."""
+    out = [(o, r) for inside, o, r in rest if not inside]
+    need = math.ceil(0.7 * len(out) - 1e-9)
+    grid = sorted({-math.inf, math.inf} | {y for _, o, r in rest for x in (o, r) for y in (x, math.nextafter(x, math.inf))})
+    own = {"rewrite": lambda o, r: r, "max": max}.get(rule, lambda o, r: o)
+    t = next(x for x in grid if sum(own(o, r) < x for o, r in out) >= need)
+    if rule == "or_strict":
+        return t, next(x for x in grid if x >= t and sum(o < t and r < x for o, r in out) >= need)
+    if rule == "band":
+        return t, next(x for x in sorted({o for _, o, _ in rest if o < t} | {t}) if sum(o < t and not (o >= x and r >= t) for o, r in out) >= need)
+    return t, None
+
+
+@pytest.mark.parametrize("rule", gate.RULES)
+def test_rules(spark, rule):
+    r = random.Random(5)
+    rows = [(i, i % 3 == 0, r.randint(0, 12) / 8, r.randint(0, 12) / 8) for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, in_scope boolean, orig double, rew double")
+    placed = gate.folds(items)
+    fold = {x.id: x.fold for x in placed.collect()}
+    tuned = {x.fold: (x.t, x.other) for x in gate.rule_parameters(placed, rule).collect()}
+    assert tuned == {f: loosest(rule, [x[1:] for x in rows if fold[x[0]] != f]) for f in range(5)}
+    for x in gate.rule_votes(items, rule).collect():
+        (_, _, orig, rew), (t, other) = rows[x.id], tuned[x.fold]
+        passed = {"baseline": orig >= t, "rewrite": rew >= t, "max": max(orig, rew) >= t, "or_strict": orig >= t or (other is not None and rew >= other), "band": orig >= t or (other is not None and orig >= other and rew >= t)}[rule]
+        assert x.passed == passed and x.source in ("orig", "rew")
+
+
+def test_rules_without_items_outside(spark):
+    items = spark.createDataFrame([(i, True, 0.5, 0.5) for i in range(6)], "id long, in_scope boolean, orig double, rew double")
     for rule in gate.RULES:
-        p = gate.tune(rule, train)
-        assert sum(not gate.decides(rule, o, r, p)[0] for inside, o, r in train if not inside) >= 7
+        assert all(x.passed for x in gate.rule_votes(items, rule).collect())
 
 
 def test_reason(spark):
