@@ -273,6 +273,7 @@ class ProgressiveJpeg:
         if data[:2] != bytes((0xFF, SOI)):
             raise JpegError("no start of image")
         self.comment = b""
+        self._size = len(data)
         self.components: list[_Component] = []
         self.width = self.height = 0
         self._frame = (0, 0)
@@ -318,8 +319,12 @@ class ProgressiveJpeg:
         if precision != 8 or not self.width or not self.height:
             raise JpegError("8-bit samples and a size are needed")
         self.components = [_Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * n, 3)]
+        if n not in (1, 3) or not all(1 <= c.h <= 4 and 1 <= c.v <= 4 for c in self.components):
+            raise JpegError("one or three components with sampling factors are needed")
         most_h, most_v = (max(getattr(c, k) for c in self.components) for k in "hv")
         self._frame = (-(-self.width // (8 * most_h)), -(-self.height // (8 * most_v)))
+        if self._frame[0] * self._frame[1] * sum(c.h * c.v for c in self.components) > 8 * self._size:
+            raise JpegError("more blocks than bits, and each has one at least")
         for c in self.components:
             c.wide, c.high = -(-(-(-self.width * c.h // most_h)) // 8), -(-(-(-self.height * c.v // most_v)) // 8)
             c.pad_wide, c.pad_high = self._frame[0] * c.h, self._frame[1] * c.v
@@ -533,7 +538,9 @@ def feature(rgb: np.ndarray) -> str:
     return f"{wide}x{high}:{means[0]},{means[1]},{means[2]}:{bits.tobytes().hex()}"
 
 
-MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
+#: Bytes of payload whose tensors leave Python together.
+TOGETHER = 4 << 20
 
 
 def _describe(text: str | None) -> tuple:
@@ -543,11 +550,12 @@ def _describe(text: str | None) -> tuple:
     back = decode_payload(image)
     if back != payload:
         raise JpegError("the stored payload differs")
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(image.rgb())
+    rgb = image.rgb()
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes()
 
 
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: the key and the digests of its text stored as a JPEG.
+    """One row per row of ``df``: the key, the digests of its text stored as a JPEG, and the decoded tensor (rgb: row-major uint8 of shape height x width x 3).
 
     Null and empty texts store 64 zero bytes.  Repeated rows and ties give
     repeated rows; other columns of ``df`` are left out; an empty table gives
@@ -556,11 +564,17 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, *(c.split()[0] for c in MEDIA_SCHEMA.split(", "))]
         for batch in batches:
-            rows = [_describe(t if isinstance(t, str) else None) for t in batch["t"]]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEDIA_SCHEMA.split(", ")])
-            out.insert(0, key, batch["k"].to_numpy())
-            yield out
+            rows, size = [], 0
+            for k, t in zip(batch["k"].array, batch["t"], strict=True):
+                rows.append((None if pd.isna(k) else k, *_describe(t if isinstance(t, str) else None)))
+                size += rows[-1][2]
+                if size >= TOGETHER:
+                    yield pd.DataFrame(rows, columns=names).astype({key: batch["k"].dtype})
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({key: batch["k"].dtype})
 
     return df.select(df[key].alias("k"), df[text].alias("t")).mapInPandas(run, f"{key} {kind}, {MEDIA_SCHEMA}")
 
@@ -581,7 +595,7 @@ def decode_images(df: DataFrame, key: str = "image_id", data: str = "data") -> D
                 try:
                     rgb = ProgressiveJpeg(bytes(d if d is not None else b"")).rgb()
                     rows.append((k, rgb.shape[1], rgb.shape[0], rgb.tobytes(), None))
-                except (JpegError, struct.error, IndexError, KeyError, StopIteration) as e:
+                except (ValueError, struct.error, IndexError, KeyError, StopIteration) as e:  # JpegError is a ValueError
                     rows.append((k, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=[key, "width", "height", "rgb", "error"]).astype({"width": "Int32", "height": "Int32"})
 
