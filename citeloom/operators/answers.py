@@ -1,20 +1,33 @@
-"""Answer assembly: context blocks, messages, citation markers, status; and sampling for audits."""
+"""Answer assembly: context blocks, messages, citation markers, status; and sampling for audits.
 
-from __future__ import annotations
+All of it is column expressions, so that a batch of replies is one projection.
+"""
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.legal import squeezed
+from citeloom.functions.text import without_thinking
+
+# The forms of a placeholder and of an amendment tag that is a line by itself.
+PLACEHOLDER = r"(?i)^[\[(](Deleted|Omitted|Repealed)(?: by)?(?: (.+?))?\.?[\])]\.?$"
+ANNOTATION = r"^\s*\[(?:Am|Sub|Ins|Mod|Added)\.\s[^\]]*\]\.?\s*$"
+
 
 def placeholder(text: Column) -> Column:
-    """Struct status, instrument of a placeholder like "(Omitted)." or "[Deleted by Act A1]"; nulls otherwise."""
-    status = F.when(F.rlike(text, F.lit(r"^[\[(] *[Oo]mitted")), "omitted").when(F.rlike(text, F.lit(r"^[\[(] *[Dd]eleted")), "deleted")
-    return F.struct(status.alias("status"), F.nullif(F.regexp_extract(text, "by (Act A[0-9]+)", 1), F.lit("")).alias("instrument"))
+    """Struct status, instrument of a placeholder like "(Omitted)." or "[Deleted by Act A1]"; nulls for any other text."""
+    clean = squeezed(F.regexp_replace(text, r"\*+(?=[\w(])", ""))
+    word = F.lower(F.regexp_extract(clean, PLACEHOLDER, 1))
+    status = F.when(word == "omitted", "omitted").when(word != "", "deleted")
+    return F.struct(status.alias("status"), F.nullif(F.regexp_extract(clean, PLACEHOLDER, 2), F.lit("")).alias("instrument"))
+
+
+def annotations_apart(lines: Column) -> Column:
+    """Struct text, tags: an array of lines without the amendment tags among them, and those."""
+    tag = lambda x: F.rlike(x, F.lit(ANNOTATION))
+    return F.struct(F.filter(lines, lambda x: ~tag(x)).alias("text"), F.transform(F.filter(lines, tag), squeezed).alias("tags"))
 
 
 def non_current(status: Column, amended_by: Column, cited: Column) -> Column:
@@ -33,6 +46,13 @@ def abstention_message(reason: Column, held: Column) -> Column:
     return F.when(reason == "language", "Please ask in English.").when(reason == "no_candidates", F.concat(F.lit("No passage was found."), tail)).otherwise(F.concat(F.lit("No passage answers this well enough."), tail))
 
 
+def stages(abstained: Column, failed: Column) -> Column:
+    """The names of a request's messages, in order."""
+    named = lambda *x: F.array(*map(F.lit, x))
+    rest = F.when(abstained, named("retrieval", "answer")).otherwise(named("retrieval", "stage:generating", "answer"))
+    return F.concat(named("stage:retrieving"), F.when(failed, named("error")).otherwise(rest))
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -> DataFrame:
     """Rows drawn by a seeded hash: a half-even share of each stratum, at least one, the remainder to the largest."""
     by = rows.groupBy(stratum).agg(F.count("*").alias("n"))
@@ -45,95 +65,88 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, total: int, seed:
     return rows.withColumn("at", F.row_number().over(order)).join(by, stratum).filter(F.col("at") <= F.col("quota")).drop("at", "quota")
 
 
-@dataclass
-class Resolved:
-    text: str
-    cited: list[int] = field(default_factory=list)
-    invalid: list[int] = field(default_factory=list)
-    uncited: int = 0
-    mentions: list[str] = field(default_factory=list)
-
-
-# The forms of markers, of sentence ends and of provision mentions.
-_MARKER = re.compile(r"\s*\[(\d+(?:\s*[,-]\s*\d+)*)\]")
-_SENTENCE = re.compile(r"(?<=[.!?\]])\s+(?=[A-Z\"'(])")
-_MENTION = re.compile(r"\b(?:[Ss]ection|s\.)\s*\d+[A-Z]*(?:\(\w+\))*")
-LONGEST_RANGE = 20
-
-
-def _numbers(group: str) -> Iterator[int]:
-    for part in group.split(","):
-        first, _, last = part.partition("-")
-        a, b = int(first), int(last or first)
-        yield from range(a, b + 1) if 0 <= b - a <= LONGEST_RANGE else dict.fromkeys((a, b))
-
-
-def resolve(text: str, blocks: int) -> Resolved:
-    """Markers renumbered by first use; numbers of no block are dropped and noted once."""
-    out = Resolved("")
-
-    def renumber(m: re.Match) -> str:
-        kept: list[int] = []
-        for n in _numbers(m[1]):
-            if not 1 <= n <= blocks:
-                if n not in out.invalid:
-                    out.invalid.append(n)
-                continue
-            if n not in out.cited:
-                out.cited.append(n)
-            if (new := out.cited.index(n) + 1) not in kept:
-                kept.append(new)
-        lead = m[0][: len(m[0]) - len(m[0].lstrip())]
-        return lead + f"[{', '.join(map(str, kept))}]" if kept else ""
-
-    out.text = _MARKER.sub(renumber, text)
-    for line in out.text.split("\n"):
-        for sentence in _SENTENCE.split(line):
-            s = sentence.strip()
-            if s and not s.endswith(":") and not _MARKER.search(s) and len(re.findall(r"[A-Za-z]+", s)) >= 6:
-                out.uncited += 1
-    out.mentions = list(dict.fromkeys(m[0] for m in _MENTION.finditer(out.text)))
-    return out
+# The forms of markers, of sentence ends, and of mentions of provisions and statutes.
+MARKER = r"(\s*)\[\s*(\d+(?:\s*[-–,]\s*\d+)*)\s*\]"
+SENTENCE_END = r"(?<=[.!?\]])\s+(?=[A-Z\"'(])"
+MENTION = r"\b(?i:sections?|subsections?|regulations?|reg\.|ss?\.)\s?\d+[A-Z]*(?:\(\w+\))*|\b(?:[A-Z][a-z]+ )+(?:Act|Ordinance)\b(?: \d{4})?|\b(?:EA|IRA)\b(?: \d{4})?|\bCap\. ?\d+"
+LONGEST_RANGE, LEAST_WORDS = 20, 6
+
+
+def marked_numbers(group: Column) -> Column:
+    """The numbers of a marker's inside, in order, each once: ranges up to LONGEST_RANGE are filled, in whichever order their ends stand."""
+
+    def part(x: Column) -> Column:
+        ends = F.transform(F.split(F.trim(x), r"\s*[-–]\s*"), lambda n: n.cast("long"))
+        low, high = F.array_min(ends), F.array_max(ends)
+        return F.when(high - low <= LONGEST_RANGE, F.sequence(low, high)).otherwise(ends)
+
+    return F.array_distinct(F.flatten(F.transform(F.split(group, ","), part)))
+
+
+def uncited(text: Column) -> Column:
+    """Sentences of LEAST_WORDS words or more without a marker that do not lead to a list."""
+    sentences = F.flatten(F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), SENTENCE_END)))
+    bare = F.filter(sentences, lambda s: (F.regexp_count(s, F.lit("[A-Za-z]+")) >= LEAST_WORDS) & ~F.rlike(s, F.lit(":$")) & ~F.rlike(s, F.lit(MARKER)))
+    return F.size(bare)
+
+
+def mentions(text: Column) -> Column:
+    """Provisions and statutes that a text names, in order, each once."""
+    found = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda m: F.regexp_replace(m, "^(?:The|Under|In|By) ", "")))
+
+
+def resolved(text: Column, blocks: Column) -> Column:
+    """Struct answer, cited, invalid, uncited, mentions.
+
+    Markers are numbered anew in order of first use, one bracket for each
+    number; ``cited`` has the blocks in that order.  Numbers of no block are
+    dropped and noted once; a marker left without any goes with the space before.
+    """
+    leads = F.regexp_extract_all(text, F.lit(MARKER), F.lit(1))
+    groups = F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(2)), marked_numbers)
+    every = F.flatten(groups)
+    fits = lambda n: (n >= 1) & (n <= blocks)
+    cited = F.array_distinct(F.filter(every, fits))
+    invalid = F.array_distinct(F.filter(every, lambda n: ~fits(n)))
+    brackets = F.zip_with(leads, groups, lambda lead, g: F.when(F.exists(g, fits), F.concat(lead, F.array_join(F.transform(F.filter(g, fits), lambda n: F.concat(F.lit("["), F.array_position(cited, n).cast("string"), F.lit("]"))), ""))).otherwise(""))
+    between = F.split(text, MARKER, -1)
+    answer = F.regexp_replace(F.array_join(F.zip_with(between, brackets, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), ""), r"^\s+|\s+$", "")
+    return F.struct(answer.alias("answer"), cited.alias("cited"), invalid.alias("invalid"), uncited(answer).alias("uncited"), mentions(answer).alias("mentions"))
 
 
 #: A model says so if the context is not enough, and states limits on a line of their own.
 INSUFFICIENT = "INSUFFICIENT_CONTEXT"
-_LIMITS = re.compile(r"(?m)^\s*LIMITS:\s*(.*)$\n?")
-ANSWER_SCHEMA = "query_id long, status string, answer string, limits string, cited array<int>, invalid array<int>, uncited int, truncated boolean"
+LIMITS = r"(?ims)\A(.*?)^[ \t*_-]*LIMITS:[ \t]*([^\n]*)(?:\n|\z)"
 
 
-def split_limits(text: str) -> tuple[str, str | None]:
-    """The answer without its LIMITS line, and that line's text without markers."""
-    m = _LIMITS.search(text)
-    if not m:
-        return text.strip(), None
-    return (text[: m.start()] + text[m.end() :]).strip(), _MARKER.sub("", m[1]).strip() or None
+def limits_apart(text: Column) -> Column:
+    """Struct body, limits: a reply without its first LIMITS line, and that line's text without markers (null if there is none)."""
+    edges = r"^\s+|\s+$"
+    body = F.regexp_replace(F.regexp_replace(text, LIMITS, "$1"), edges, "")
+    limits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, LIMITS, 2), MARKER, ""), edges, "")
+    return F.struct(body.alias("body"), F.nullif(limits, F.lit("")).alias("limits"))
 
 
 def assemble(replies: DataFrame) -> DataFrame:
-    """Answers of replies (query_id, reason, notice, reply, finish, blocks).
+    """query_id, status, answer, limits, cited, invalid, uncited, truncated of replies (query_id, reason, notice, reply, finish, blocks).
 
     A reason means abstained, with the notice and no model call; an empty reply
     is an error; the sentinel anywhere means insufficient_context; else answered.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if isinstance(r.reason, str):
-                    rows.append((r.query_id, "abstained", r.notice, None, [], [], 0, False))
-                    continue
-                reply = re.sub(r"(?s)<think>.*?</think>", "", r.reply or "").strip()
-                if not reply:
-                    raise ValueError(f"empty reply to {r.query_id}")
-                cut = r.finish == "length"
-                if INSUFFICIENT in reply:
-                    rows.append((r.query_id, "insufficient_context", None, None, [], [], 0, cut))
-                    continue
-                body, limits = split_limits(reply)
-                found = resolve(body, int(r.blocks))
-                rows.append((r.query_id, "answered", found.text, limits, found.cited, found.invalid, found.uncited, cut))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
-
-    return replies.select("query_id", "reason", "notice", "reply", "finish", "blocks").mapInPandas(run, ANSWER_SCHEMA)
+    reply = without_thinking(F.coalesce("reply", F.lit("")))
+    rows = replies.select("query_id", "reason", "notice", "finish", "blocks", reply.alias("reply"))
+    lost = F.raise_error(F.format_string("empty reply to %s", F.col("query_id").cast("string")))
+    status = F.when(F.col("reason").isNotNull(), "abstained").when(F.col("reply") == "", lost.cast("string")).when(F.contains(F.col("reply"), F.lit(INSUFFICIENT)), "insufficient_context").otherwise("answered")
+    rows = rows.withColumns({"status": status, "parts": limits_apart(F.col("reply"))}).withColumn("found", resolved(F.col("parts.body"), F.col("blocks")))
+    answered = F.col("status") == "answered"
+    none = F.array().cast("array<long>")
+    return rows.select(
+        "query_id",
+        "status",
+        F.when(answered, F.col("found.answer")).when(F.col("status") == "abstained", F.col("notice")).alias("answer"),
+        F.when(answered, F.col("parts.limits")).alias("limits"),
+        *(F.when(answered, F.col(f"found.{c}")).otherwise(none).cast("array<int>").alias(c) for c in ("cited", "invalid")),
+        F.when(answered, F.col("found.uncited")).otherwise(0).alias("uncited"),
+        ((F.col("status") != "abstained") & F.coalesce(F.col("finish") == "length", F.lit(False))).alias("truncated"),
+    )

@@ -177,13 +177,19 @@ def rrf(*lists: DataFrame, c: int = RRF_C) -> DataFrame:
     return every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 9).alias("score"))
 
 
-def windows(content: Column, query_len: Column, header_len: Column, limit: int = 512, margin: int = 8) -> Column:
-    """Word arrays of a passage's windows: budget left by question and header, stride of half a budget, the last flush with the end."""
-    words = F.split(content, r"\s+")
+def window_starts(words: Column, query_len: Column, header_len: Column, limit: int = 512, margin: int = 8) -> tuple[Column, Column]:
+    """Where a passage's windows begin, and how many words each has: the budget left by question and header, at a stride of half a budget, the last flush with the end."""
     budget = F.greatest(F.lit(limit - 4 - margin) - query_len - header_len, F.lit(128))
     stride = F.greatest(F.lit(1), F.floor(budget / 2).cast("int"))
     last = F.size(words) - budget
     starts = F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_union(F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)), stride), lambda s: s < last), F.array(last)))
+    return starts, budget
+
+
+def windows(content: Column, query_len: Column, header_len: Column, limit: int = 512, margin: int = 8) -> Column:
+    """Word arrays of a passage's windows."""
+    words = F.split(content, r"\s+")
+    starts, budget = window_starts(words, query_len, header_len, limit, margin)
     return F.transform(starts, lambda s: F.slice(words, s + 1, budget))
 
 
@@ -193,12 +199,19 @@ def overlap(question: Column, passage: Column) -> Column:
     return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, F.array_distinct(passage))) / F.size(q), SCALE)).otherwise(0.0)
 
 
-def window_rerank(pairs: DataFrame) -> DataFrame:
-    """The score of each pair's best window.
+def window_scores(pairs: DataFrame) -> DataFrame:
+    """query_id, doc_id, start and score of every window of the pairs (query_id, doc_id, query_text, doc_text).
 
-    pairs: query_id, doc_id, query_text, doc_text.  A passage is cut into windows
-    that leave room for the question; without text it scores 0.
+    A passage is cut into windows that leave room for the question; one without
+    text is one window that scores 0.
     """
-    cut = pairs.select("query_id", "doc_id", tokens(F.col("query_text")).alias("q"), F.explode_outer(windows(F.col("doc_text"), F.size(F.split("query_text", r"\s+")), F.lit(0))).alias("words"))
-    scored = cut.select("query_id", "doc_id", overlap(F.col("q"), tokens(F.array_join(F.coalesce("words", F.array().cast("array<string>")), " "))).alias("score"))
-    return scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    rows = pairs.select("query_id", "doc_id", tokens(F.col("query_text")).alias("q"), F.size(F.split("query_text", r"\s+")).alias("n"), F.explode(F.array(F.split(F.coalesce("doc_text", F.lit("")), r"\s+"))).alias("words"))
+    starts, budget = window_starts(F.col("words"), F.col("n"), F.lit(0))
+    cut = rows.select("query_id", "doc_id", "q", "words", budget.alias("budget"), F.explode(starts).alias("start"))
+    own = F.array_join(F.slice("words", F.col("start") + 1, F.col("budget")), " ")
+    return cut.select("query_id", "doc_id", "start", overlap(F.col("q"), tokens(own)).alias("score"))
+
+
+def window_rerank(pairs: DataFrame) -> DataFrame:
+    """The score of each pair's best window."""
+    return window_scores(pairs).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))

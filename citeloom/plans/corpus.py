@@ -53,9 +53,9 @@ def award_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.award_furniture(lines(spark, sf_dir), share=0.04)
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 30) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations""")
 def carry_forward_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heading = F.when(F.col("role") == "user", F.substring("text", 1, 30))
+    heading = F.when(F.col("role") == "user", F.col("text"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(heading, ignorenulls=True).over(w).alias("heading"))
 
@@ -94,10 +94,13 @@ def doc_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(siblings, "conv_id").select("conv_id", "turn", "siblings")
 
 
-@query(f"""WITH w AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(coalesce(text, ''), '[^A-Za-zªºÀ-ÖØ-öø-ɏ]', '', 'g')) AS latin, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') AS words FROM documents),
+GATE_SQL = f"""w AS (SELECT id, length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(coalesce(text, ''), '[^A-Za-zªºÀ-ÖØ-öø-ɏ]', '', 'g')) AS latin, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') AS words FROM asked),
     s AS (SELECT *, len(list_filter(words, lambda x: list_contains([{_WORDS}], lower(x)))) / len(words) AS share FROM w),
-    p AS (SELECT *, CASE WHEN letters > 0 AND (letters - latin) * 2 > letters THEN FALSE WHEN len(words) < 3 THEN TRUE ELSE share >= 0.3 END AS passed FROM s)
-    SELECT doc_id, passed, CASE WHEN NOT passed OR len(words) < 3 THEN NULL WHEN share >= 0.5 THEN 'en' ELSE 'mixed' END AS language FROM p""")
+    p AS (SELECT *, CASE WHEN letters > 0 AND (letters - latin) * 2 > letters THEN FALSE WHEN len(words) < 3 THEN TRUE ELSE share >= 0.3 END AS passed FROM s)"""
+
+
+@query(f"""WITH asked AS (SELECT doc_id AS id, text FROM documents), {GATE_SQL}
+    SELECT id AS doc_id, passed, CASE WHEN NOT passed OR len(words) < 3 THEN NULL WHEN share >= 0.5 THEN 'en' ELSE 'mixed' END AS language FROM p""")
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.script_gate(F.col("text")).alias("g")).select("doc_id", "g.*")
 

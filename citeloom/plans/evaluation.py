@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import tokens
+from citeloom.functions.text import script_gate, tokens
 from citeloom.operators import evaluate, gate, rank
 from citeloom.plans.base import query, table
+from citeloom.plans.corpus import GATE_SQL
 from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, TOKENS_SQL, bm25_list, dense_list, modes, questions, search_index
 from citeloom.sources.saved import saved
 
@@ -245,14 +246,17 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(wins, "mode", "left")
 
 
-@query(f"""WITH {SCORED_SQL}, i AS (SELECT score, row_number() OVER (ORDER BY score, id) AS pos, count(*) OVER () AS n FROM scored WHERE in_scope AND id % 10 <> 9), t AS (
+@query(f"""WITH {SCORED_SQL}, asked AS (SELECT item_id AS id, CASE WHEN item_id % 7 = 3 THEN 'Это другой язык ' || item_id ELSE text END AS text FROM benchmark), {GATE_SQL}, kept AS (SELECT x.* FROM scored x JOIN p ON p.id = x.id WHERE p.passed),
+    i AS (SELECT score, row_number() OVER (ORDER BY score, id) AS pos, count(*) OVER () AS n FROM kept WHERE in_scope), t AS (
         SELECT score AS threshold FROM i WHERE pos = least(CAST(floor(0.1 * n + 1e-9) AS BIGINT), n - 1) + 1)
     SELECT threshold, count(*) FILTER (WHERE s.in_scope) AS in_scope_items, count(*) FILTER (WHERE NOT s.in_scope) AS out_items,
         count(*) FILTER (WHERE s.in_scope AND s.score < threshold) AS in_declined, count(*) FILTER (WHERE NOT s.in_scope AND s.score < threshold) AS out_declined
-    FROM scored s, t WHERE s.id % 10 <> 9 GROUP BY threshold""")
+    FROM kept s, t GROUP BY threshold""")
 def calibrate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration that leaves out items stopped by language (here: ids that end in 9)."""
-    items = scored(spark, sf_dir).filter(F.col("id") % 10 != 9)
+    """Calibration that leaves out the questions that the language gate stops (every seventh is asked in another script here)."""
+    asked = F.when(F.col("query_id") % 7 == 3, F.concat(F.lit("Это другой язык "), F.col("query_id").cast("string"))).otherwise(F.col("text"))
+    passed = questions(spark, sf_dir).filter(script_gate(asked)["passed"]).select(F.col("query_id").alias("id"))
+    items = scored(spark, sf_dir).join(passed, "id", "left_semi")
     low = F.col("score") < F.col("threshold")
     rows = items.crossJoin(F.broadcast(gate.order_statistic(items)))  # one row
     return rows.groupBy("threshold").agg(

@@ -306,3 +306,12 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stride = F.floor(F.col("budget") / 2)
     start = F.when(F.col("all") <= F.col("budget"), 0).when(F.col("at") == last, F.col("all") - F.col("budget")).otherwise(F.col("at") * stride)
     return cut.select("doc_id", (F.col("at") + 1).cast("long").alias("part"), start.cast("long").alias("start"), F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("digest"))
+
+
+@query(f"""WITH {FUSED_SQL}, {RERANK_SQL} SELECT query_id, doc_id, start, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END AS score, max(CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END) OVER (PARTITION BY query_id, doc_id) AS best FROM dset""")
+def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all windows of the pool's passages, and the best of each passage."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    pairs = fused_list(spark, sf_dir).select("query_id", "doc_id").join(questions(spark, sf_dir).withColumnRenamed("text", "query_text"), "query_id").join(texts, "doc_id")
+    scored = rank.window_scores(pairs)
+    return scored.withColumn("best", F.max("score").over(Window.partitionBy("query_id", "doc_id")))

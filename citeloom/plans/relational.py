@@ -52,10 +52,21 @@ def chunk_ids_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").withColumn("n", again).select("p_partkey", F.concat("p_brand", F.lit("_s"), F.col("p_size").cast("string"), F.expr("repeat('_x', n)")).alias("chunk_id"))
 
 
-@query("SELECT event_id, event_type, len(json_keys(props)) AS n_keys FROM events")
-def row_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of a row's raw JSON, read as a variant-free text column."""
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.coalesce(F.size(F.json_object_keys("props")), F.lit(0)).cast("long").alias("n_keys"))
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS parse_rule FROM events")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of raw JSON as text, then as a number."""
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("parse_rule"))
+
+
+@query("""SELECT doc_id AS chunk_id, 'v' || (doc_id % 3) AS index_version, lang AS jurisdiction, source AS document, 'plain' AS parse_rule, n_chars % 7 AS section, doc_id AS doc_order,
+    '{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || '}' AS metadata FROM documents""")
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the chunk table: seven columns to filter by, and the whole record as JSON with its nulls."""
+    record = F.to_json(F.struct("doc_id", "lang", "source", "n_chars"), {"ignoreNullFields": "false"})
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("index_version"), F.col("lang").alias("jurisdiction"), F.col("source").alias("document"),
+        F.lit("plain").alias("parse_rule"), (F.col("n_chars") % 7).alias("section"), F.col("doc_id").alias("doc_order"), record.alias("metadata"),
+    )
 
 
 @query(f"WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)} SELECT t.query_id, t.rank AS number, d.doc_id AS chunk_id, d.lang AS jurisdiction, d.source AS statute, t.score, md5(d.text) AS content_digest FROM t JOIN documents d USING (doc_id)")
@@ -133,12 +144,15 @@ def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim("text")).between(1, 2000).alias("ok"))
 
 
-@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '(Omitted).' WHEN p_size % 4 = 1 THEN '[Deleted by Act A' || p_size || ']' WHEN p_size % 4 = 2 THEN '(Deleted)' ELSE p_name END AS t FROM part)
-    SELECT p_partkey, CASE WHEN regexp_matches(t, '^[\\[(] *[Oo]mitted') THEN 'omitted' WHEN regexp_matches(t, '^[\\[(] *[Dd]eleted') THEN 'deleted' END AS status, nullif(regexp_extract(t, 'by (Act A[0-9]+)', 1), '') AS instrument FROM p""")
+_PLACEHOLDERS = ("(Omitted).", "[Deleted by Act A{k}]", "(Deleted)", "{n}", "[Repealed by *Act {k} of 1966.]", "(Deleted items must be returned) by hand", "[Deleted  by AA{k}]", "(Deleted Act A{k}.).")
+_PLACEHOLDER_FORM = r"(?i)^[\[(](Deleted|Omitted|Repealed)(?: by)?(?: (.+?))?\.?[\])]\.?$"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, replace(replace([{', '.join(map(repr, _PLACEHOLDERS))}][p_size % {len(_PLACEHOLDERS)} + 1], '{{k}}', p_partkey::VARCHAR), '{{n}}', p_name) AS t FROM part), c AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(t, '\\*+([\\w(])', '\\1', 'g'), '\\s+', ' ', 'g')) AS t FROM p)
+    SELECT p_partkey, CASE lower(regexp_extract(t, '{_PLACEHOLDER_FORM}', 1)) WHEN '' THEN NULL WHEN 'omitted' THEN 'omitted' ELSE 'deleted' END AS status, nullif(regexp_extract(t, '{_PLACEHOLDER_FORM}', 2), '') AS instrument FROM c""".replace("\\\\", "\\"))
 def placeholder_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size") % 4
-    text = F.when(size == 0, "(Omitted).").when(size == 1, F.format_string("[Deleted by Act A%d]", "p_size")).when(size == 2, "(Deleted)").otherwise(F.col("p_name"))
-    found = answers.placeholder(text)
+    forms = F.array(*(F.replace(F.replace(F.lit(f), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{n}"), F.col("p_name")) for f in _PLACEHOLDERS))
+    found = answers.placeholder(F.get(forms, (F.col("p_size") % len(_PLACEHOLDERS)).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", found["status"].alias("status"), found["instrument"].alias("instrument"))
 
 
@@ -198,11 +212,6 @@ def mention_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.size(found) > 0).select("doc_id", F.array_join(F.transform(found, lambda s: s["n"]), ",").alias("mentioned"))
 
 
-@query("SELECT l_orderkey, max(l_extendedprice) AS best FROM lineitem GROUP BY l_orderkey")
-def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("best"))
-
-
 @query("WITH f AS (SELECT l_orderkey, l_shipdate, l_returnflag, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS flags FROM f WHERE n = 1 GROUP BY l_orderkey")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values in order of their first occurrence."""
@@ -240,16 +249,16 @@ def uncited_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(bare).cast("long").alias("uncited"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z]+ (?:License|Public License)')), '|') AS refs FROM documents WHERE len(regexp_extract_all(text, '[A-Z][A-Za-z]+ (?:License|Public License)')) = 1")
+@query("WITH f AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][A-Za-z]+ (?:License|Public License)') AS x FROM documents) SELECT doc_id, array_to_string(list_filter(x, lambda n, i: list_position(x, n) = i), '|') AS refs FROM f WHERE len(x) > 0")
 def external_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit("([A-Z][A-Za-z]+ (?:License|Public License))"), F.lit(1))
-    return table(spark, sf_dir, "documents").filter(F.size(found) == 1).select("doc_id", F.array_join(F.array_distinct(found), "|").alias("refs"))
+    return table(spark, sf_dir, "documents").filter(F.size(found) > 0).select("doc_id", F.array_join(F.array_distinct(found), "|").alias("refs"))
 
 
-@query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)}, b AS (SELECT t.query_id, t.rank, '[' || t.rank || '] ' || concat_ws(' | ', d.source || ', s. ' || d.doc_id, nullif('', ''), d.lang, upper(CASE WHEN d.doc_id % 2 = 0 THEN 'in_force' ELSE 'superseded' END)) || chr(10) || left(d.text, 60) AS block FROM t JOIN documents d USING (doc_id))
+@query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)}, b AS (SELECT t.query_id, t.rank, '[' || t.rank || '] ' || concat_ws(' | ', d.source || ', s. ' || d.doc_id, nullif('', ''), d.lang, upper(CASE WHEN d.doc_id % 2 = 0 THEN 'in_force' ELSE 'superseded' END)) || chr(10) || d.text AS block FROM t JOIN documents d USING (doc_id))
     SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY query_id""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.col("lang"), F.substring("text", 1, 60).alias("content"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.col("lang"), F.col("text").alias("content"))
     status = F.when(F.col("doc_id") % 2 == 0, "in_force").otherwise("superseded")
     rows = bm25_list(spark, sf_dir, 3).join(documents, "doc_id").select("query_id", "rank", F.format_string("%s, s. %d", "source", "doc_id").alias("citation"), F.lit("").alias("title"), "lang", status.alias("status"), "content")
     block = answers.context_block(F.col("rank"), F.col("citation"), F.col("title"), F.col("lang"), F.col("status"), F.col("content"))
@@ -267,11 +276,13 @@ def content_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.content_version(F.encode("text", "UTF-8")).alias("version"))
 
 
-@query("""SELECT item_id AS query_id, unnest([1, 2, 3, 4]) AS seq, unnest(['stage:retrieving', 'retrieval', 'stage:generating', 'answer']) AS event FROM benchmark""")
+@query("""WITH e AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN ['stage:retrieving', 'retrieval', 'answer'] WHEN 1 THEN ['stage:retrieving', 'error'] ELSE ['stage:retrieving', 'retrieval', 'stage:generating', 'answer'] END AS x FROM benchmark)
+    SELECT query_id, generate_subscripts(x, 1) AS seq, unnest(x) AS event FROM e""")
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered stage messages of each request."""
-    stages = F.array(*map(F.lit, ("stage:retrieving", "retrieval", "stage:generating", "answer")))
-    return questions(spark, sf_dir).select("query_id", F.posexplode(stages).alias("n", "event")).select("query_id", (F.col("n") + 1).alias("seq"), "event")
+    """The ordered messages of each request: an abstained one is not generated, a failed one ends with the error."""
+    k = F.col("query_id") % 4
+    rows = questions(spark, sf_dir).select("query_id", (k == 0).alias("abstained"), (k == 1).alias("failed"))
+    return rows.select("query_id", F.posexplode(answers.stages(F.col("abstained"), F.col("failed"))).alias("n", "event")).select("query_id", (F.col("n") + 1).alias("seq"), "event")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, lang FROM documents WHERE source = 'src1'")

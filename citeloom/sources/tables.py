@@ -43,6 +43,11 @@ def write_manifest(spark: SparkSession, path: str, entries: dict[str, str | int]
     spark.range(1).select(*columns).coalesce(1).write.mode("overwrite").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """The manifest's entries, None if there is none."""
     jvm = spark.sparkContext._jvm

@@ -9,20 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from citeloom.sources.tables import exists
+
 
 def answer_new(spark: SparkSession, questions: str, schema: StructType, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "query_id") -> None:
     """Answer all questions that are there and not answered yet, append them to ``out``, and return."""
 
     def each(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates([key])
-        try:
+        if exists(spark, f"{out}/_SUCCESS"):  # any other trouble with what is there ends the run, nothing is answered twice
             fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except AnalysisException:  # nothing written yet
-            pass
         answer(fresh).write.mode("append").parquet(out)
 
     stream = spark.readStream.schema(schema).json(questions)

@@ -173,20 +173,65 @@ def test_asof_tolerance(spark):
     "text, blocks, answer, cited, invalid",
     [
         ("Yes [3] and [1].", 3, "Yes [1] and [2].", [3, 1], []),
-        ("Both [1, 2] [1-3].", 3, "Both [1, 2] [1, 2, 3].", [1, 2, 3], []),
+        ("Rule [1, 3].", 5, "Rule [1][2].", [1, 3], []),
+        ("Rule [1][3].", 5, "Rule [1][2].", [1, 3], []),
+        ("Rule [1-3].", 5, "Rule [1][2][3].", [1, 2, 3], []),
+        ("Rule [3–1].", 5, "Rule [1][2][3].", [1, 2, 3], []),
+        ("Rule [1-40].", 5, "Rule [1].", [1], [40]),
+        ("Rule [ 2 ].", 5, "Rule [1].", [2], []),
         ("None [9].", 3, "None.", [], [9]),
+        ("None [0] at all", 3, "None at all", [], [0]),
         ("Some [9, 2] [9].", 3, "Some [1].", [2], [9]),
+        ("plain", 3, "plain", [], []),
     ],
 )
-def test_markers(text, blocks, answer, cited, invalid):
-    found = answers.resolve(text, blocks)
-    assert (found.text, found.cited, found.invalid) == (answer, cited, invalid)
+def test_markers(spark, text, blocks, answer, cited, invalid):
+    found = one(spark, answers.resolved(F.lit(text), F.lit(blocks)))
+    assert (found.answer, found.cited, found.invalid) == (answer, cited, invalid)
 
 
-def test_answer_parts():
-    assert answers.split_limits("A [1].\nLIMITS: only the east [1].\nB.") == ("A [1].\nB.", "only the east.")
-    assert answers.resolve("One two three four five six. Short one. Cited here by one two three [1].", 1).uncited == 1
-    assert answers.resolve("See section 60E(1) and s. 2.", 1).mentions == ["section 60E(1)", "s. 2"]
+@pytest.mark.parametrize(
+    "text, count",
+    [
+        ("The rule is long and has no marker at all. Leave is eight days [1].", 1),
+        ("Leave is eight days for new employees. [1] Sick leave is fourteen days a year [1].", 0),
+        ("In Sabah:\n- Eight days a year [1].\nIn short, yes.", 0),
+        ("One two three four five six. Short one.\nAll of these words stand alone here", 2),
+    ],
+)
+def test_uncited(spark, text, count):
+    assert one(spark, answers.uncited(F.lit(text))) == count
+
+
+def test_answer_parts(spark):
+    parts = lambda text: tuple(one(spark, answers.limits_apart(F.lit(text))))
+    assert parts("A [1].\nLIMITS: only the east [1].\nB.") == ("A [1].\nB.", "only the east.")
+    assert parts("A.\n- limits: one") == ("A.", "one") and parts(" A. ") == ("A.", None)
+    named = lambda text: one(spark, answers.mentions(F.lit(text)))
+    assert named("See section 60E(1) and s. 2, subsections 3 and ss. 4.") == ["section 60E(1)", "s. 2", "subsections 3", "ss. 4"]
+    assert named("The Employment Act 1955 and reg. 6 of Cap. 12; EA 1955. The Employment Act 1955") == ["Employment Act 1955", "reg. 6", "Cap. 12", "EA 1955"]
+
+
+@pytest.mark.parametrize(
+    "text, status, instrument",
+    [
+        ("(Deleted by *Act 40 of 1966).", "deleted", "Act 40 of 1966"),
+        ("(Omitted).", "omitted", None),
+        ("[Deleted by AA1238]", "deleted", "AA1238"),
+        ("[Deleted  by Act A1237.]", "deleted", "Act A1237"),
+        ("[Deleted Act A1237.]", "deleted", "Act A1237"),
+        ("[Repealed by Act A5]", "deleted", "Act A5"),
+        ("(Deleted items must be returned) by hand", None, None),
+        ("Every employee shall be allowed", None, None),
+    ],
+)
+def test_placeholders(spark, text, status, instrument):
+    assert tuple(one(spark, answers.placeholder(F.lit(text)))) == (status, instrument)
+
+
+def test_annotations(spark):
+    lines = F.array(*map(F.lit, ("safety.", "[Am. Act A1237.]", " [Mod. F.L.N.  1/2000;  Am. Act A1237.]", "[1] x")))
+    assert tuple(one(spark, answers.annotations_apart(lines))) == (["safety.", "[1] x"], ["[Am. Act A1237.]", "[Mod. F.L.N. 1/2000; Am. Act A1237.]"])
 
 
 def test_assembly(spark):
