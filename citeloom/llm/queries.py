@@ -187,7 +187,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
                    list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
                    lambda v, b: xor(v >> 8, k.k[(xor(v, b) & 255) + 1]))) AS text_crc32, 'bytes' AS law, shard,
-               row_number() OVER (PARTITION BY shard ORDER BY substr(g, 1, 3), CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS INT) % 64, doc_id, g) - 1 AS slot,
+               row_number() OVER (PARTITION BY shard ORDER BY substr(g, 1, 2), CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS INT) % 64, doc_id, g) - 1 AS slot,
                CAST(NULL AS INT) AS grown_shard
         FROM r, k
     """,

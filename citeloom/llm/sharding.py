@@ -26,8 +26,8 @@ from pyspark.sql import Window
 from citeloom.llm.storage import written
 
 SHARDS = 16
-#: Key ranges (hexadecimal digits of the key's beginning) and parts of a range that are numbered apart.
-RANGE_DIGITS, CELLS = 3, 64
+#: Key ranges by the beginning of the key (in hexadecimal digits): of the running sums, and of the slots, where each has CELLS parts.
+RANGE_DIGITS, ZONE_DIGITS, CELLS = 3, 2, 64
 #: Parts of each range that is asked about.
 FINE = 2048
 
@@ -167,7 +167,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 
     Law ``bytes``: equal texts share a shard (null counts as empty), and the
     largest shard is as small as contiguous cuts allow.  Slots number a shard's
-    rows by key range, cell (of the key's MD5), key and text key; keys may have
+    rows by zone (of the text key), cell (of the key's MD5), key and text key; keys may have
     any type that orders.  Repeated rows take a slot each; a null key comes
     first in its cell; an empty table gives none.
     """
@@ -189,10 +189,11 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     cell = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"), F.lit(CELLS))
     rows = rows.withColumns({"shard": F.size(F.filter(keys, lambda c: c <= F.col("group"))), "cell": cell})
 
-    earlier = Window.partitionBy("shard").orderBy("part", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("shard", "part", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("shard", "part", "cell").orderBy("k", "group")) - 1
-    numbered = rows.withColumn("at", at).join(F.broadcast(cells.drop("n")), ["shard", "part", "cell"])  # (16 ** RANGE_DIGITS + shards) x CELLS rows
+    rows = rows.withColumn("zone", F.substring("group", 1, ZONE_DIGITS))
+    earlier = Window.partitionBy("shard").orderBy("zone", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("shard", "zone", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("shard", "zone", "cell").orderBy("k", "group")) - 1
+    numbered = rows.withColumn("at", at).join(F.broadcast(cells.drop("n")), ["shard", "zone", "cell"])  # (16 ** ZONE_DIGITS + shards) x CELLS rows
     return numbered.select(
         F.col("k").alias(key),
         "size",
