@@ -36,7 +36,7 @@ ROWS, BANDS = 5, 40
 #: Cells of a sketch.
 CELLS = 256
 #: Members of a bucket that one task compares with as many others; shingles of a cluster's sets, where a set counts as SET_LEAST more than it has.
-BLOCK, SET_BLOCK, SET_LEAST = 1024, 1 << 20, 1024
+BLOCK, SET_BLOCK, SET_LEAST = 1024, 1 << 18, 1024
 SALTS = 16
 #: Parts in which a class's members come to it.
 STAR_SALTS = 64
@@ -148,7 +148,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
-    """``make(pdf)`` for each group of ``keys``, from sorted partitions: a group costs no task of its own."""
+    """``make(pdf)`` for each group of ``keys``, from sorted partitions: a group costs no task of its own.
+
+    Work grows faster than bytes here, so the number of partitions is given and not made smaller for few bytes.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -170,7 +174,7 @@ def _grouped(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
         if rest:
             yield pd.DataFrame(make(pd.concat(rest)), columns=["a", "b"], dtype=np.int64)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def _near(pdf: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
