@@ -9,6 +9,8 @@ from citeloom.functions import legal
 from citeloom.functions import text as T
 from citeloom.operators import answers
 from citeloom.operators import lines as L
+from citeloom.operators import links
+from citeloom.operators import sections as S
 from citeloom.plans.base import query, table
 from citeloom.plans.corpus import lines as page_lines
 
@@ -338,3 +340,96 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 8
     t = F.when(k == 0, "DECISION:").when(k == 1, F.concat(F.lit("Facts of "), F.coalesce("source", F.lit("x")))).when(k == 2, "(a)").when(k == 3, "Ali v Abu").when(k == 4, "the end").when(k == 5, "Costs").when(k == 6, "Section 4. More").otherwise("Of the")
     return table(spark, sf_dir, "documents").select("doc_id", legal.heading_part(t).alias("part"), legal.whole_heading(t).alias("heading"))
+
+
+def _statutes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and contents of a statute for each source, a section for each of its documents.
+
+    Sections are placeholders, subsections, definitions or plain by their number;
+    every seventh has no title, some contents lines have no section, and some
+    placeholders are a range that holds a lettered section too.
+    """
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("doc"), "doc_id", n.cast("long").alias("n"))
+    n, own, number = F.col("n"), F.col("doc_id").cast("string"), F.col("n").cast("string")
+    wide, none = (n % 4 == 0) & (n % 3 == 0), F.array().cast("array<string>")
+    title = F.when(n % 7 != 0, F.concat(F.lit("Pay of kind "), own))
+    parts = lambda *x: F.array(*(F.concat(*(c if isinstance(c, Column) else F.lit(c) for c in line)) if isinstance(line, tuple) else F.lit(line) for line in x))
+    text = (
+        F.when(wide, parts((number, "-", number, ". (Deleted by Act A", own, ").")))
+        .when(n % 4 == 0, parts((number, ". (Deleted by Act A", own, ").")))
+        .when(n % 4 == 1, parts((number, ". (1) Every word is here ", own, "."), "(2) More of it;", "(a) one thing"))
+        .when(n % 4 == 2, parts((number, ". In this Act—"), "“wages” means", ("money of kind ", own, "."), "“day” includes a night."))
+        .otherwise(parts((number, ". Plain text under section ", (n - 1).cast("string"), "."), "[Am. Act A1.]", "goes on here."))
+    )
+    heading = F.when(n % 10 == 1, parts(("PART ", number))).otherwise(none)
+    every = F.concat(heading, F.when(title.isNotNull(), F.array(title)).otherwise(none), text)
+    lines = rows.select("doc", "n", F.posexplode(every).alias("k", "line")).select("doc", (F.col("n") * 10 + F.col("k")).alias("line_no"), "line")
+    entry = lambda ord_, section, title: F.struct(ord_.alias("ord"), section.alias("section"), title.alias("title"))
+    more = F.when(wide, F.array(entry(n * 2 + 1, F.concat(number, F.lit("A")), F.lit(None).cast("string")))).when(n % 9 == 0, F.array(entry(n * 2 + 1, F.concat(number, F.lit("Z")), F.lit("Lost"))))
+    entries = F.concat(F.array(entry(n * 2, number, title)), F.coalesce(more, F.array().cast("array<struct<ord:bigint,section:string,title:string>>")))
+    contents = rows.select("doc", "n", F.explode(entries).alias("e")).select("doc", "e.ord", "e.section", "e.title", F.lit("listed").alias("status"), F.lit(None).cast("string").alias("deleted_by"), (F.col("n") > 20).alias("later"))
+    return lines, contents
+
+
+@query("""WITH r AS (SELECT source AS doc, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL),
+    t AS (SELECT *, CASE WHEN n % 7 <> 0 THEN 'Pay of kind ' || doc_id END AS title, CASE WHEN n > 20 THEN 'not_yet_in_force' ELSE 'in_force' END AS own FROM r),
+    c AS (
+        SELECT doc, n::VARCHAR AS section, NULL AS label, 'provision' AS kind, CASE WHEN n % 3 = 0 THEN 'range_placeholder' ELSE 'placeholder' END AS rule, 'deleted' AS status, 'Act A' || doc_id AS deleted_by, NULL AS term, NULL AS scope, title, '(Deleted by Act A' || doc_id || ').' AS text FROM t WHERE n % 4 = 0
+        UNION ALL SELECT doc, n || 'A', NULL, 'provision', 'range_placeholder', 'deleted', 'Act A' || doc_id, NULL, NULL, title, '(Deleted by Act A' || doc_id || ').' FROM t WHERE n % 12 = 0
+        UNION ALL SELECT doc, n::VARCHAR, '(1)', 'provision', 'subsection', own, NULL, NULL, NULL, title, 'Every word is here ' || doc_id || '.' FROM t WHERE n % 4 = 1
+        UNION ALL SELECT doc, n::VARCHAR, '(2)', 'provision', 'subsection', own, NULL, NULL, NULL, title, 'More of it;' || chr(10) || '(a) one thing' FROM t WHERE n % 4 = 1
+        UNION ALL SELECT doc, n::VARCHAR, NULL, 'definition', 'definition', own, NULL, 'wages', 'In this Act—', title, '“wages” means money of kind ' || doc_id || '.' FROM t WHERE n % 4 = 2
+        UNION ALL SELECT doc, n::VARCHAR, NULL, 'definition', 'definition', own, NULL, 'day', 'In this Act—', title, '“day” includes a night.' FROM t WHERE n % 4 = 2
+        UNION ALL SELECT doc, n::VARCHAR, NULL, 'provision', 'section_undivided', own, NULL, NULL, NULL, title, 'Plain text under section ' || (n - 1) || '. goes on here.' FROM t WHERE n % 4 = 3
+    ) SELECT *, CASE WHEN contains(text, 'under section') AND NOT contains(text, 'section 0.') THEN 's. ' || (section::INT - 1) ELSE '' END AS internal FROM c""")
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, expected = _statutes(spark, sf_dir)
+    found = S.references(S.chunks(lines, expected, ["doc"]), expected, ["doc"], F.lit("Wages Act 1900"))
+    return found.select("doc", "section", "label", "kind", "rule", "status", "deleted_by", "term", "scope", "title", "text", F.array_join("internal", ",").alias("internal"))
+
+
+@query("""WITH r AS (SELECT source AS doc, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL)
+    SELECT doc, count(*) + count(*) FILTER (WHERE n % 12 = 0 OR n % 9 = 0) AS expected, count(*) + count(*) FILTER (WHERE n % 12 = 0) AS located, coalesce(string_agg(n || 'Z', ',' ORDER BY n) FILTER (WHERE n % 9 = 0 AND n % 12 <> 0), '') AS missing FROM r GROUP BY doc""")
+def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.report(*_statutes(spark, sf_dir), ["doc"])
+    return found.select("doc", "expected", "located", F.array_join("missing", ",").alias("missing"))
+
+
+def _amending(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of an Act (from documents) and amending parts (from orders), by titles and first lines."""
+    k = F.col("doc_id") % 90
+    principal = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.when(k == 89, "SCHEDULE").otherwise(k.cast("string")).alias("section"), F.concat(F.lit("("), (F.col("doc_id") % 4).cast("string"), F.lit(")")).alias("subsection"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(k.cast("string"), F.lit(" wages"))).alias("term"), F.when(k < 20, "Chapter XIA").alias("chapter"),
+    )
+    n = F.col("o_orderkey").cast("string")
+    m = (F.col("o_orderkey") % 90).cast("string")
+    line = F.get(F.array(*(F.replace(F.replace(F.lit(f), F.lit("{k}"), n), F.lit("{m}"), m) for f in _LINK_FORMS)), (F.floor(F.col("o_orderkey") / 13) % len(_LINK_FORMS)).cast("int"))
+    rows = _titles(spark, sf_dir).withColumns({"line": line, "a": legal.amendment(F.col("title"))}).withColumn("t", legal.amendment_target(F.col("line")))
+    return principal, rows.select(F.col("o_orderkey").alias("src_id"), F.col("o_orderkey").alias("ord"), "a.action", "a.targets", "t.section", "t.subsection", "t.term", legal.inserts_definition(F.col("line")).alias("inserts"), legal.removes_whole(F.col("line")).alias("removes"))
+
+
+_LINK_FORMS = ("Subsection {m}(2) is amended", "(a) by deleting subsection (1);", "(b) in the definition of “{m} wages”, by", "(a) by inserting after the definition of “day”", "(c) by deleting the definition of “{m} wages”;", "in general")
+_LINKS_SQL = rf"""t AS (SELECT o_orderkey AS src, regexp_replace(trim(regexp_replace({_TITLE_SQL}, '\s+', ' ', 'g')), '\.+$', '') AS t, (o_orderkey // 13) % 6 AS f, (o_orderkey % 90)::VARCHAR AS m FROM orders),
+    a AS (SELECT *, CASE {' '.join(f"WHEN regexp_full_match(t, '{f}') THEN '{a}'" for f, a in _ACTIONS)} ELSE 'other' END AS action FROM t WHERE f <> 3),
+    g AS (SELECT src, f, m, CASE WHEN action = 'delete' OR f IN (1, 4) THEN 'delete' ELSE action END AS act, CASE WHEN action IN ('amend', 'substitute', 'delete') THEN CASE WHEN f = 0 THEN [m] ELSE list_transform(regexp_extract_all(regexp_extract(t, 'sections? (.+)', 1), '\d+[a-z]*'), lambda x: upper(x)) END
+            WHEN action = 'substitute_schedule' THEN ['SCHEDULE'] END AS secs, action, CASE WHEN action = 'delete_chapter' THEN 'Chapter XIA' END AS chap FROM a WHERE action IN ('amend', 'substitute', 'delete', 'delete_chapter', 'substitute_schedule')),
+    c AS (SELECT doc_id AS dst, CASE WHEN doc_id % 90 = 89 THEN 'SCHEDULE' ELSE (doc_id % 90)::VARCHAR END AS sec, doc_id % 4 AS sub, CASE WHEN doc_id % 3 = 0 THEN doc_id % 90 END AS term, CASE WHEN doc_id % 90 < 20 THEN 'Chapter XIA' END AS chap FROM documents),
+    p AS (SELECT g.src, c.dst, g.act, coalesce(CASE f WHEN 0 THEN c.sub = 2 WHEN 1 THEN c.sub = 1 WHEN 2 THEN c.term::VARCHAR = g.m WHEN 4 THEN c.term::VARCHAR = g.m END, false) AS hit FROM g JOIN c ON list_contains(g.secs, c.sec) OR g.chap = c.chap),
+    e AS (SELECT src, dst, act FROM (SELECT *, bool_or(hit) OVER (PARTITION BY src) AS matched FROM p) WHERE hit OR NOT matched)"""
+
+
+@query(f"WITH {_LINKS_SQL} SELECT src AS src_id, dst AS dst_id, act AS action FROM e")
+def amendment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.from_amendments(*_amending(spark, sf_dir))[0].select("src_id", "dst_id", "action")
+
+
+@query(f"WITH {_LINKS_SQL} SELECT src AS src_id FROM g WHERE src NOT IN (SELECT src FROM p)")
+def unresolved_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.from_amendments(*_amending(spark, sf_dir))[1]
+
+
+@query(f"""WITH {_LINKS_SQL} SELECT dst AS chunk_id, CASE WHEN bool_or(act IN ('delete', 'delete_chapter')) THEN 'deleted' ELSE 'superseded' END AS status, min(src) FILTER (WHERE act IN ('delete', 'delete_chapter')) AS deleted_by FROM e GROUP BY dst""")
+def amended_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.status(links.from_amendments(*_amending(spark, sf_dir))[0])

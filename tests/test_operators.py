@@ -155,6 +155,21 @@ def test_status(spark):
     assert sorted(map(tuple, links.status(edges).collect())) == [(5, "deleted", 2), (6, "superseded", None)]
 
 
+def test_links_of_amendments(spark):
+    chunks = [(1, "2", "(1)", "wages", None), (2, "2", "(1)", "day", None), (3, "2", "(2)", None, None), (4, "60", None, None, "Chapter II"), (5, "61", None, None, "Chapter II"), (6, "SCHEDULE", None, None, None)]
+    principal = spark.createDataFrame(chunks, "chunk_id long, section string, subsection string, term string, chapter string")
+    parts = [
+        (10, 0, "amend", ["2"], None, None, "wages", False, True), (11, 1, "amend", ["2"], None, "(2)", None, False, False), (12, 2, "amend", ["2"], None, None, "week", False, False),
+        (13, 3, "amend", ["2"], None, None, None, True, False), (14, 4, "delete", ["60", "99"], None, None, None, False, False), (15, 5, "delete_chapter", ["Chapter II"], None, None, None, False, False),
+        (16, 6, "substitute_schedule", ["SCHEDULE"], None, None, None, False, False), (17, 7, "amend", ["99"], None, None, None, False, False), (18, 8, "amend", ["99"], "61", None, None, False, False), (19, 9, "insert", ["2"], None, None, None, False, False),
+    ]
+    amending = spark.createDataFrame(parts, "src_id long, ord int, action string, targets array<string>, section string, subsection string, term string, inserts boolean, removes boolean")
+    edges, lost = links.from_amendments(principal, amending)
+    assert values(edges, "src_id", "dst_id", "action") == [(10, 1, "delete"), (11, 3, "amend"), (12, 1, "amend"), (12, 2, "amend"), (12, 3, "amend"), (14, 4, "delete"), (15, 4, "delete_chapter"), (15, 5, "delete_chapter"), (16, 6, "substitute_schedule"), (18, 5, "amend")]
+    assert values(lost, "src_id") == [(17,)]
+    assert [(r.chunk_id, r.status, r.deleted_by) for r in links.status(edges).orderBy("chunk_id").collect()] == [(1, "deleted", 10), (2, "superseded", None), (3, "superseded", None), (4, "deleted", 14), (5, "deleted", 15), (6, "superseded", None)]
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
