@@ -150,3 +150,79 @@ def assemble(replies: DataFrame) -> DataFrame:
         F.when(answered, F.col("found.uncited")).otherwise(0).alias("uncited"),
         ((F.col("status") != "abstained") & F.coalesce(F.col("finish") == "length", F.lit(False))).alias("truncated"),
     )
+
+
+#: Names of regions and of statuses in a prompt.
+STATUS_NAMES = {"in_force": "IN FORCE", "not_yet_in_force": "NOT YET IN FORCE", "deleted": "DELETED", "omitted": "OMITTED"}
+
+
+def status_name(status: Column, amended_by: Column, shown: Column) -> Column:
+    """A block's status; a superseded one names what amends it and the blocks (``shown``: a map of chunk id to number) where that stands."""
+    name = F.coalesce(F.create_map(*(x for k, v in STATUS_NAMES.items() for x in (F.lit(k), F.lit(v))))[status], status)
+    at = F.filter(F.transform(amended_by, lambda a: F.element_at(shown, a)), lambda n: n.isNotNull())
+    where = F.when(F.size(at) > 0, F.concat(F.lit("see block "), F.array_join(F.transform(at, lambda n: n.cast("string")), ", "))).otherwise("amending text not shown")
+    return F.when(status == "superseded", F.concat(F.lit("SUPERSEDED, amended by "), F.array_join(amended_by, ", "), F.lit(" ("), where, F.lit(")"))).otherwise(name)
+
+
+def prompt(region: Column, notes: Column, context: Column, question: Column) -> Column:
+    """A question's prompt: region, notes (an array), the blocks and the question."""
+    said = F.array_join(F.transform(notes, lambda n: F.concat(F.lit("Note: "), F.trim(n), F.lit("\n\n"))), "")
+    return F.concat(F.lit("Region: "), F.coalesce(region, F.lit("not given")), F.lit("\n\n"), said, F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
+
+
+def section_ref(citation: Column, statute: Column) -> Column:
+    """A citation without its statute's name in front."""
+    prefix = F.concat(statute, F.lit(", "))
+    return F.when(F.startswith(citation, prefix), F.substr(citation, F.length(prefix) + 1)).otherwise(citation)
+
+
+def chip_label(citation: Column, statute: Column) -> Column:
+    """The reference, then the statute; the whole citation if the statute is not in front of it."""
+    ref = section_ref(citation, statute)
+    return F.when(ref == citation, ref).otherwise(F.concat_ws(", ", ref, statute))
+
+
+def statements(line: Column, known: Column) -> Column:
+    """An array of structs text, markers: what each group of known markers closes, and the rest.
+
+    Punctuation right after a group goes before it; other markers stay text.
+    """
+    clean = F.regexp_replace(line, r"\*\*", "")
+    marks = F.regexp_extract_all(clean, F.lit(r"\[\d+\]"), F.lit(0))
+    tokens = F.filter(F.flatten(F.zip_with(F.split(clean, r"\[\d+\]", -1), marks, lambda x, m: F.array(x, F.coalesce(m, F.lit(""))))), lambda t: t != "")
+    none = F.array().cast("array<bigint>")
+    cut = lambda x: F.regexp_replace(x, r"\s+$", "")
+
+    def step(s: Column, t: Column) -> Column:
+        number = F.regexp_extract(t, r"^\[(\d+)\]$", 1).try_cast("bigint")
+        mark = F.coalesce(F.array_contains(known, number), F.lit(False))
+        closes = ~mark & (F.size(s["markers"]) > 0)
+        lead = F.regexp_extract(t, r"^[.,;:!?)]+", 0)
+        closed = F.concat(s["done"], F.array(F.struct(cut(F.concat(cut(s["text"]), lead)).alias("text"), s["markers"].alias("markers"))))
+        return F.struct(
+            F.when(closes, closed).otherwise(s["done"]).alias("done"),
+            F.when(mark, s["text"]).when(closes, F.substr(t, F.length(lead) + 1)).otherwise(F.concat(s["text"], t)).alias("text"),
+            F.when(mark, F.array_union(s["markers"], F.array(number))).when(closes, none).otherwise(s["markers"]).alias("markers"),
+        )
+
+    start = F.struct(F.array().cast("array<struct<text:string,markers:array<bigint>>>").alias("done"), F.lit("").alias("text"), none.alias("markers"))
+    last = lambda s: F.when((F.size(s["markers"]) > 0) | (F.trim(s["text"]) != ""), F.concat(s["done"], F.array(F.struct(cut(s["text"]).alias("text"), s["markers"].alias("markers"))))).otherwise(s["done"])
+    return F.aggregate(tokens, start, step, last)
+
+
+def answer_blocks(rows: DataFrame, key: str, answer: str, known: str) -> DataFrame:
+    """key, line, block, kind (heading, paragraph, ordered, bullet) and statements of every line that is not blank.
+
+    List items of one kind that follow each other share a block.
+    """
+    lines = rows.select(key, known, F.posexplode(F.split(answer, "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    forms = {"heading": r"^#{1,6}\s+(.*)$", "bullet": r"^[-*•]\s+(.*)$", "ordered": r"^\d+[.)]\s+(.*)$"}
+    kind, text = F.lit("paragraph"), F.col("raw")
+    for name, form in reversed(forms.items()):
+        fits = F.rlike("raw", F.lit(form))
+        kind, text = F.when(fits, name).otherwise(kind), F.when(fits, F.regexp_extract("raw", form, 1)).otherwise(text)
+    order = Window.partitionBy(key).orderBy("line")
+    lines = lines.withColumns({"kind": kind, "text": text})
+    same = F.col("kind").isin("bullet", "ordered") & F.coalesce(F.lag("kind").over(order) == F.col("kind"), F.lit(False))
+    lines = lines.withColumn("fresh", ~same).withColumn("block", F.count_if("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return lines.select(key, "line", "block", "kind", statements(F.col("text"), F.col(known)).alias("statements"))

@@ -99,10 +99,13 @@ def row_exclusion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").join(nation, "r_regionkey").select("r_regionkey", F.concat("r_name", F.lit("\n"), F.array_join(line, "\n")).alias("content"))
 
 
-@query("SELECT n_nationkey, regexp_extract('Act 19' || (n_nationkey + 50) || ', s. ' || n_nationkey || '(1)', 's\\. (.*)$', 1) AS section_ref, left(n_name, 4) AS chip FROM nation")
+@query("""WITH c AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'Order' ELSE n_name END AS statute, n_name || ', s. ' || n_nationkey || '(1)' AS citation FROM nation)
+    SELECT n_nationkey, CASE WHEN starts_with(citation, statute || ', ') THEN substr(citation, length(statute) + 3) ELSE citation END AS section_ref, CASE WHEN starts_with(citation, statute || ', ') THEN substr(citation, length(statute) + 3) || ', ' || statute ELSE citation END AS chip FROM c""")
 def citation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    citation = F.format_string("Act 19%d, s. %d(1)", F.col("n_nationkey") + 50, F.col("n_nationkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.regexp_extract(citation, r"s\. (.*)$", 1).alias("section_ref"), F.substring("n_name", 1, 4).alias("chip"))
+    """References without the statute in front, and labels with it behind; every third citation is another's."""
+    statute = F.when(F.col("n_nationkey") % 3 == 0, "Order").otherwise(F.col("n_name"))
+    citation = F.concat("n_name", F.lit(", s. "), F.col("n_nationkey").cast("string"), F.lit("(1)"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", answers.section_ref(citation, statute).alias("section_ref"), answers.chip_label(citation, statute).alias("chip"))
 
 
 @query("SELECT doc_id, doc_id % 3 AS version FROM documents WHERE doc_id % 3 = 1")

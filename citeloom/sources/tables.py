@@ -6,8 +6,12 @@ stay, and the caller publishes it under a new version's path.
 
 from __future__ import annotations
 
+import json
+import time
+from datetime import UTC, datetime
 from functools import reduce
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +98,37 @@ def build_if_changed(spark: SparkSession, chunks: DataFrame, base: str, columns:
         table = spark.read.parquet(path)
         if table.count() == found["chunks"] == chunks.count():
             return found | {"built": False}
+    began = time.monotonic()
     chunks.write.mode("overwrite").parquet(path)
-    entries = {"version": version, "chunks": spark.read.parquet(path).count()}
+    entries = {"version": version, "chunks": spark.read.parquet(path).count(), "seconds": round(time.monotonic() - began, 3), "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
     write_manifest(spark, manifest, entries)
     return entries | {"built": True}
+
+
+def read_registry(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The list ``part`` of a YAML file as rows; entries are maps, and nested ones and dates become JSON text."""
+    whole = spark.read.text(path, wholetext=True).head()
+    rows = (yaml.safe_load(whole.value) if whole else None) or {}
+    plain = [{k: v if isinstance(v, (str, int, float, bool)) or v is None else json.dumps(v, default=str, ensure_ascii=False) for k, v in entry.items()} for entry in rows.get(part) or []]
+    names = list(dict.fromkeys(k for entry in plain for k in entry))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.createDataFrame([tuple(None if entry.get(n) is None else str(entry[n]) for n in names) for entry in plain], schema)
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Binary files as path, length and content; only what is selected is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+
+
+def write_report(problems: DataFrame, folder: str, name: str, day: str, counts: dict[str, int] | None = None) -> int:
+    """Write ``folder``/``day``_``name``: its problems as JSON lines and a summary beside them; 1 if there is any problem, else 0."""
+    path = f"{folder}/{day}_{name}"
+    write_jsonl(problems, f"{path}/problems")
+    n = problems.sparkSession.read.text(f"{path}/problems").count()
+    write_manifest(problems.sparkSession, f"{path}/summary", {"day": day, "problems": n, **(counts or {})})
+    return int(n > 0)
+
+
+def without_mark(lines: DataFrame, mark: str | None, column: str = "line") -> DataFrame:
+    """``lines`` without those that hold a watermark; all if none is given."""
+    return lines if not mark else lines.filter(F.col(column).isNull() | ~F.contains(F.col(column), F.lit(mark)))
