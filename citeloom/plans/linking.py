@@ -27,9 +27,8 @@ def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     newest = rows.groupBy("h").agg(F.max("doc_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").select("h", "newest")
     pairs = rows.join(newest, "h").filter("doc_id <> newest")
-    ord_ = F.row_number().over(Window.partitionBy("newest").orderBy("doc_id")) - 1
-    return pairs.select(F.col("doc_id").alias("src_id"), F.col("newest").alias("dst_id"), F.lit("amended_by").alias("kind"), F.lit(0).alias("ord")).union(
-        pairs.select("newest", "doc_id", F.lit("amends"), ord_)
+    return pairs.select(F.col("doc_id").alias("src_id"), F.col("newest").alias("dst_id"), F.lit("amended_by").alias("kind"), F.lit(0).cast("long").alias("ord")).union(
+        pairs.select("newest", "doc_id", F.lit("amends"), "doc_id")
     )
 
 
