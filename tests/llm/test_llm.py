@@ -662,6 +662,22 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("after_lines", [False, True])
+def test_near_stage_against_all_pairs(spark, after_lines):
+    """On the tables' documents, and on what the line stage leaves of them: the groups of all pairs, none missed and none made up."""
+    from conftest import DATA
+
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
+    if after_lines:  # whose copies have lost their lines: nothing of these tables is near any more
+        docs = linededup.without_repeats(spark, docs, "")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    label, _ = plain_components(texts, 5, 80)
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert found == label
+    kept = {r.doc_id for r in neardup.keep_one(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(label.values()) and (len(kept) < len(texts)) == (not after_lines)
+
+
 def test_sketches_only_rule_out():
     """Every pair of sets at the threshold passes; most of those far from it do not."""
     r = np.random.default_rng(4)
