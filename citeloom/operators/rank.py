@@ -53,16 +53,16 @@ def index(documents: DataFrame, jurisdiction: Column | None = None, keep: Keep =
     skips the others by their bounds.
     """
     where = F.lit(None).cast("string") if jurisdiction is None else jurisdiction
-    found = tokens(F.col("text"))
-    tokenised = keep("tokenised", lambda: documents.select("doc_id", where.alias("jurisdiction"), found.alias("tokens")).select("doc_id", "jurisdiction", F.size("tokens").alias("len"), "tokens"))
-    stats = keep("corpus", lambda: tokenised.agg(F.count("*").alias("docs"), F.avg("len").alias("avglen")))
+    tokenised = documents.select("doc_id", where.alias("jurisdiction"), tokens(F.col("text")).alias("tokens")).select("doc_id", "jurisdiction", F.size("tokens").alias("len"), "tokens")
+    by = ["doc_id", "jurisdiction", "len", "token"]
+    terms = keep("terms", lambda: tokenised.select("doc_id", "jurisdiction", "len", F.explode("tokens").alias("token")).groupBy(*by).agg(F.count("*").alias("tf")))
+    stats = keep("corpus", lambda: terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(F.broadcast(documents.agg(F.count("*").alias("docs")))).select("docs", F.try_divide("all", "docs").alias("avglen")))  # one row each
 
     def weighed() -> DataFrame:
-        counted = keep("terms", lambda: tokenised.select("doc_id", "jurisdiction", "len", F.explode("tokens").alias("token")).groupBy("doc_id", "jurisdiction", "len", "token").agg(F.count("*").alias("tf")))
-        df = counted.groupBy("token").agg(F.count("*").alias("df"))
+        df = terms.groupBy("token").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-        rows = counted.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+        rows = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row
         return rows.select("token", "doc_id", "jurisdiction", "tf", "len", "df", (idf * part).alias("weight")).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
 
     return Index(tokenised, stats, keep("postings", weighed))
