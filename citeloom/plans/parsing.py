@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import legal
 from citeloom.functions import text as T
+from citeloom.operators import amendments as A
 from citeloom.operators import answers
 from citeloom.operators import lines as L
 from citeloom.operators import links
@@ -433,3 +434,26 @@ def unresolved_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINKS_SQL} SELECT dst AS chunk_id, CASE WHEN bool_or(act IN ('delete', 'delete_chapter')) THEN 'deleted' ELSE 'superseded' END AS status, min(src) FILTER (WHERE act IN ('delete', 'delete_chapter')) AS deleted_by FROM e GROUP BY dst""")
 def amended_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.status(links.from_amendments(*_amending(spark, sf_dir))[0])
+
+
+@query("""WITH r AS (SELECT source AS doc, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS n FROM documents WHERE source IS NOT NULL)
+    SELECT doc, n AS number, 'Amendment of section ' || n AS title, 'amend' AS action, n::VARCHAR AS targets, part, label, subsection, CASE WHEN part = 2 THEN 'kind ' || doc_id END AS term, part = 2 AS removes, '' AS new_section, text FROM (
+        SELECT *, 1 AS part, '(a)(i)' AS label, '(1)' AS subsection, 'Section ' || n || ' is amended—' || chr(10) || '(a) in subsection (1)—' || chr(10) || '(i) by inserting the words of kind ' || doc_id || ' and more of the same sort;' AS text FROM r WHERE n % 3 = 0
+        UNION ALL SELECT *, 2, '(a)(ii)', '(1)', '(ii) by deleting the definition of “kind ' || doc_id || '” as it stands;' FROM r WHERE n % 3 = 0
+        UNION ALL SELECT *, 3, '(b)', '(6)', '(b) in subsection (6), by words.' FROM r WHERE n % 3 = 0)
+    UNION ALL SELECT doc, n, 'New section ' || n || 'a', 'insert', n || 'A', 1, NULL, NULL, NULL, false, n || 'A', 'It is inserted for ' || doc_id || '.' FROM r WHERE n % 3 = 1
+    UNION ALL SELECT doc, n, 'General amendments', 'general', '', 1, NULL, NULL, NULL, false, '', 'The words ' || doc_id || ' go.' FROM r WHERE n % 3 = 2""")
+def amending_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an amending Act for each source: paragraphs of long sections, lead-ins, and what each names."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("doc"), "doc_id", n.alias("n"))
+    number, own, k = F.col("n").cast("string"), F.col("doc_id").cast("string"), F.col("n") % 3
+    long = F.array(
+        F.concat(F.lit("Amendment of section "), number), F.concat(number, F.lit(". Section "), number, F.lit(" is amended—")), F.lit("(a) in subsection (1)—"),
+        F.concat(F.lit("(i) by inserting the words of kind "), own, F.lit(" and more of the same sort;")), F.concat(F.lit("(ii) by deleting the definition of “kind "), own, F.lit("” as it stands;")), F.lit("(b) in subsection (6), by words."),
+    )
+    new = F.array(F.concat(F.lit("New section "), number, F.lit("a")), F.concat(number, F.lit(". It is inserted for "), own, F.lit(".")))
+    general = F.array(F.lit("General amendments"), F.concat(number, F.lit(". The words "), own, F.lit(" go.")))
+    lines = rows.select("doc", "n", F.posexplode(F.when(k == 0, long).when(k == 1, new).otherwise(general)).alias("at", "line")).select("doc", (F.col("n") * 10 + F.col("at")).alias("line_no"), "line")
+    found = A.parts(lines, ["doc"], 20)
+    return found.select("doc", "number", "title", "action", F.array_join("targets", ",").alias("targets"), "part", "label", "subsection", "term", "removes", F.array_join("new_section", ",").alias("new_section"), "text")
