@@ -77,68 +77,73 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = B
     return out[::-1]
 
 
-def bucketed(df: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> tuple[DataFrame, list[int]]:
-    """``df`` with n_tokens, bucket (from 0), bucket_length and over_budget; and the boundaries.
+def boundaries(lengths: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> list[int]:
+    """The bucket boundaries of the rows of ``lengths`` (n) within the budget.
 
-    Boundaries are of the rows within the budget; rows beyond it share a last
-    bucket, in which each has its own length.  The driver gets the histogram of
-    the lengths within the budget, which has at most budget + 1 rows.
+    The driver gets the histogram of their lengths, which has at most budget + 1 rows.
     """
-    rows = df.withColumn("n_tokens", length)
-    over = F.col("n_tokens") > budget
-    found = rows.filter(~over).groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
-    ends = optimal_boundaries(np.array([r.n_tokens for r in found], np.int64), np.array([r.n for r in found], np.int64), buckets)
-    bounds = F.array(*(F.lit(e).cast("long") for e in ends)) if ends else F.array(F.lit(0).cast("long"))
-    bucket = F.when(over, len(ends)).otherwise(F.size(F.filter(bounds, lambda e: e < F.col("n_tokens"))))
-    end = F.when(over, F.col("n_tokens")).otherwise(F.get(bounds, F.col("bucket")))
-    return rows.withColumn("bucket", bucket).withColumns({"bucket_length": end, "over_budget": over}), ends
+    found = lengths.filter(F.col("n") <= budget).groupBy("n").agg(F.count("*").alias("rows")).orderBy("n").collect()
+    return optimal_boundaries(np.array([r.n for r in found], np.int64), np.array([r.rows for r in found], np.int64), buckets)
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Key, n_tokens, bucket, bucket_length, batch (from 0 in its bucket), slot (from 0 in its batch), padding and over_budget.
+def _bucketed(rows: DataFrame, ends: list[int], budget: int) -> DataFrame:
+    """``rows`` (k, n) with bucket (from 0), bucket_length, over_budget and cell; rows beyond the budget share a last bucket, in which each has its own length."""
+    over = F.col("n") > budget
+    bounds = F.array(*(F.lit(e).cast("long") for e in ends)) if ends else F.array(F.lit(0).cast("long"))
+    bucket = F.when(over, len(ends)).otherwise(F.size(F.filter(bounds, lambda e: e < F.col("n"))))
+    rows = rows.withColumns({"bucket": bucket, "over_budget": over, "cell": F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 2)})
+    return rows.withColumn("bucket_length", F.when(over, F.col("n")).otherwise(F.get(bounds, F.col("bucket"))))
 
-    A batch of a bucket takes as many rows as fit the budget at the bucket's
-    length; a row longer than the budget is a batch by itself, without padding
-    and with over_budget.  Null and empty texts have no tokens and are packed
-    too; repeated rows take a slot each; of ties the smaller key comes first
-    within the key's cell.  Rows of a bucket are numbered in CELLS parts, so no
-    task sorts a bucket.
-    """
-    return _numbered(written(df.select(df[key].alias("k"), token_length(df[text]).alias("n")), "lengths"), buckets, budget).withColumnRenamed("k", key)
+
+PLACE = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding", "over_budget")
 
 
-def _numbered(lengths: DataFrame, buckets: int, budget: int) -> DataFrame:
-    """The batches of a written table (k, n)."""
-    rows, _ = bucketed(lengths, F.col("n"), buckets, budget)
-    rows = rows.withColumn("cell", F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 2))
+def _numbered(rows: DataFrame, lengths: DataFrame, buckets: int, budget: int) -> DataFrame:
+    """``rows`` (k, n and any others) with PLACE instead of n; ``lengths`` has k and n of the same rows, written."""
+    ends = boundaries(lengths, buckets, budget)
     before = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("bucket", "cell").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    cells = _bucketed(lengths, ends, budget).groupBy("bucket", "cell").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("k", "n")) - 1
-    rows = rows.withColumn("at", at).join(F.broadcast(cells.select("bucket", "cell", "before")), ["bucket", "cell"])  # (buckets + 1) x CELLS rows
+    placed = _bucketed(rows, ends, budget).withColumn("at", at).join(F.broadcast(cells.select("bucket", "cell", "before")), ["bucket", "cell"])  # (buckets + 1) x CELLS rows
     rank = F.col("at") + F.col("before")
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length")))).cast("long")
-    return rows.select(
-        "k",
-        F.col("n_tokens"),
+    return placed.select(
+        *(c for c in rows.columns if c != "n"),
+        F.col("n").alias("n_tokens"),
         F.col("bucket"),
         F.col("bucket_length"),
         F.floor(rank / fit).cast("long").alias("batch"),
         (rank % fit).cast("long").alias("slot"),
-        (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
+        (F.col("bucket_length") - F.col("n")).alias("padding"),
         "over_budget",
     )
 
 
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+    """Key, n_tokens, bucket, bucket_length, batch (from 0 in its bucket), slot (from 0 in its batch), padding and over_budget.
+
+    A batch of a bucket takes as many rows as fit the budget at the bucket's
+    length; a row longer than the budget is a batch by itself, without padding
+    and with over_budget.  Null and empty texts have no tokens and are packed
+    too; repeated rows take a slot each; of ties the smaller key comes first
+    within the key's cell.  Rows of a bucket are numbered in CELLS parts, so no
+    task sorts a bucket.
+    """
+    lengths = written(df.select(df[key].alias("k"), token_length(df[text]).alias("n")), "lengths")
+    return _numbered(lengths, lengths, buckets, budget).withColumnRenamed("k", key)
+
+
 def packed(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its text, and its place (bucket, batch, slot and the rest of ``pack``).
+    """Pipeline stage: every document with its text, and its place (bucket, batch, slot and the rest of PLACE).
 
-    Rows are told apart by doc_id and the hash of their text; rows that repeat
-    both have equal lengths and take a slot each.  Other columns stay, but for
-    those that have the name of one of the place's, which give way.
+    A document is a doc_id with the hash of its text; rows that repeat both have
+    equal lengths and take a slot each.  Texts move once, to the cell that
+    numbers them.  Other columns stay, but for those that have the name of one
+    of the place's, which give way.
     """
-    places = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding", "over_budget")
-    own = documents.select(*(c for c in documents.columns if c not in places))
-    rows = written(own.withColumn("__row", F.monotonically_increasing_id()), "to-pack")
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
-    found = _numbered(written(rows.select(key.alias("k"), token_length(F.col("text")).alias("n")), "lengths"), BUCKETS, TOKEN_BUDGET)
-    return rows.join(found.select(F.col("k.row").alias("__row"), *places), "__row").select(*own.columns, *places)
+    key = F.struct(documents["doc_id"].alias("id"), F.xxhash64(documents["text"]).alias("hash"))
+    length = token_length(documents["text"])
+    own = [c for c in documents.columns if c not in PLACE]
+    lengths = written(documents.select(key.alias("k"), length.alias("n")), "lengths")
+    rows = documents.select(key.alias("k"), length.alias("n"), F.struct(*(documents[c] for c in own)).alias("own"))
+    return _numbered(rows, lengths, BUCKETS, TOKEN_BUDGET).select("own.*", *PLACE)
