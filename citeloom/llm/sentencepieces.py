@@ -10,6 +10,11 @@ model a path is admitted only if merging in order of score would give each two
 neighbours, which is decided for a pair of neighbours by undoing their merges;
 one path is left then, and it is the one that merging gives.  Characters
 without a piece become byte pieces.
+
+A long word (a text may have no spaces) is first cut where no piece reaches from
+one character to the next: every path has a border there.  A stretch that pieces
+span everywhere, such as one character repeated, stays one word, whose lattice
+grows with its length.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ MARK, NEWLINE = "▁", "\n"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter in front of the sorted keys, and cells of a batch of words.
 FILTER_BITS, CELLS = 22, 1 << 19
-#: Words that a worker keeps with their pieces.
+#: Words that a worker keeps with their pieces, over all of its tasks.
 CACHE = 400_000
+#: Words of more characters are cut where no piece reaches, in windows of so many.
+LONG, WINDOW = 48, 1 << 16
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _BYTE = 1, 6
 
@@ -227,6 +234,25 @@ def viterbi(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[used], used.sum(axis=1)
 
 
+def stretches(v: Vocabulary, word: str) -> list[str]:
+    """``word`` cut between any two characters that no piece has in it side by side."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, width = len(codes), min(v.longest, len(codes))
+    reach = np.zeros(n + 1, np.int64)  # changes of how many pieces go over the border before a character
+    for at in range(0, n, WINDOW):
+        some = codes[at : at + WINDOW + width - 1]
+        own, h = min(WINDOW, n - at), np.zeros(len(some), np.uint64)
+        for k in range(width):
+            h = (h[: len(some) - k] + some[k:]) * _BASE
+            if k:
+                first = at + np.flatnonzero(v.lookup(h[:own]) >= 0)
+                np.add.at(reach, first + 1, 1)
+                np.add.at(reach, first + k + 1, -1)
+    cuts = np.flatnonzero(np.cumsum(reach)[1:n] == 0) + 1
+    edges = [0, *cuts.tolist(), n]
+    return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Encoder:
     """Ids of texts; keeps a bounded number of words with their ids."""
 
@@ -236,6 +262,14 @@ class Encoder:
         self._runs = {len(p): i for i, p in enumerate(v.pieces) if p and set(p) == {32}}
 
     def _learn(self, words: list[str]) -> None:
+        long = {w: stretches(self.v, w) for w in words if len(w) > LONG}
+        long = {w: parts for w, parts in long.items() if len(parts) > 1}
+        parts = {p for some in long.values() for p in some} - self._known.keys()
+        self._learn_whole([*(w for w in words if w not in long), *(parts - set(words))])
+        for w, some in long.items():
+            self._known[w] = np.concatenate([self._known[p] for p in some])
+
+    def _learn_whole(self, words: list[str]) -> None:
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w), []).append(w)
@@ -263,13 +297,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; whole texts."""
+        return [ids for ids, _ in self.counted(texts)]
+
+    def counted(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """The ids of each text, and how many words it has."""
         split = [self._words(t) if t else [] for t in texts]
         if len(self._known) > CACHE:
             self._known.clear()
         self._learn(list({w for words in split for w in words} - self._known.keys()))
         none = np.zeros(0, np.int32)
         known = self._known
-        return [np.concatenate([known[w] for w in self._spaced(words)]) if words else none for words in split]
+        return [(np.concatenate([known[w] for w in self._spaced(words)]) if words else none, len(words)) for words in split]
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -311,6 +349,16 @@ class Encoder:
             run = 0
 
 
+_held: list[Encoder] = []
+
+
+def encoder_of(v: Vocabulary) -> Encoder:
+    """This worker's encoder of a vocabulary: words that one task has learned are known to the next."""
+    if not _held or _held[0].v is not v:
+        _held[:] = [Encoder(v)]
+    return _held[0]
+
+
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
     """The text of ids; bytes that are no UTF-8 become replacement characters."""
     pieces = v.pieces
@@ -329,7 +377,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     kind, shared = df.schema[key].dataType.simpleString(), _vocabulary(df, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts = batch["t"].tolist()
             ids = encoder.encode([t if isinstance(t, str) else "" for t in texts])
@@ -360,13 +408,13 @@ def piece_report(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     kind, shared = df.schema[key].dataType.simpleString(), _vocabulary(df, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["t"]]
             rows = []
-            for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            for t, (ids, words) in zip(texts, encoder.counted(texts), strict=True):
                 back = decode(shared.value, ids)
-                rows.append((len(Encoder._words(t)) if t else 0, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
+                rows.append((words, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
             out.insert(0, key, batch["k"].to_numpy())
             yield out

@@ -295,6 +295,30 @@ def test_minimax(spark, monkeypatch, fine, digits):
 # --- 3: pieces
 
 
+def test_long_words_equal_the_library():
+    """Texts without spaces: cut where no piece reaches, and not where pieces span everything."""
+    import sentencepiece
+
+    v = sentencepieces.load()
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    r = random.Random(4)
+    texts = ["a" * 3000, "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(4000)), base64.b64encode(r.randbytes(3000)).decode(), "ab" * 500 + "語" + "xy日" * 300, "é" * 60 + "▁" * 60 + "the" * 40]
+    for t, ids in zip(texts, sentencepieces.Encoder(v).encode(texts), strict=True):
+        assert ids.tolist() == library.encode(t)
+    for t in texts:
+        assert "".join(sentencepieces.stretches(v, t)) == t
+    assert len(sentencepieces.stretches(v, texts[1])) > 1000 and sentencepieces.stretches(v, "a" * 100) == ["a" * 100]
+
+
+def test_windows_of_long_words(monkeypatch):
+    v = sentencepieces.load()
+    text = base64.b64encode(random.Random(8).randbytes(900)).decode()
+    whole = sentencepieces.stretches(v, text)
+    for size in (7, 50, 333):
+        monkeypatch.setattr(sentencepieces, "WINDOW", size)
+        assert sentencepieces.stretches(v, text) == whole
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
 
