@@ -225,24 +225,21 @@ def _sample(documents: DataFrame) -> dict[str, list[str]]:
     documents are taken, those with the smallest hash of their id, and of each
     the first SAMPLE_CHARS characters.  Counting a language's documents first
     gives a bound of the hash that about twice as many pass, so that no task
-    orders a language.
+    orders a language; where too many of those are empty, more are let pass.
     """
-    ok = F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumns({"own": F.xxhash64("text"), "hash": F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))})
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    wanted = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
+    ok = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    rows = documents.select("doc_id", "lang", "text").filter(ok).withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    missing = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # no text is read for that
+    wanted = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // max(1, len(missing))))
     samples: dict[str, list[str]] = {}
-    missing, times = counts, 2.0
+    times = 2.0
     while missing:
         bounds = documents.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (times * wanted + 20) / n))) for k, n in missing.items()], "lang string, bound long")
-        passed = rows.join(F.broadcast(bounds), "lang").filter("hash < bound")  # a row for each language
+        passed = rows.join(F.broadcast(bounds), "lang").filter("hash < bound AND length(text) > 0")  # a row for each language
+        texts = passed.groupBy("lang", "hash", "doc_id", F.xxhash64("text").alias("own")).agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
         order = Window.partitionBy("lang").orderBy("hash", "doc_id", "own")
-        first = passed.select("lang", "doc_id", "hash", "own").distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= wanted).select("lang", "doc_id", "own")
-        few = passed.join(F.broadcast(first), ["lang", "doc_id", "own"]).groupBy("lang", "doc_id", "own").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))  # ``wanted`` rows a language
         found: dict[str, list[str]] = {}
-        for lang, text in few.select("lang", "text").collect():
+        for lang, text in texts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= wanted).select("lang", "text").collect():
             found.setdefault(lang, []).append(text)
         done = {k for k, n in missing.items() if len(found.get(k, [])) == wanted or times * wanted + 20 >= n}
         samples |= {k: sorted(found[k]) for k in done if k in found}

@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Tables after whose writing the driver is tidied, and how many were written since.
+TIDY_EVERY = 6
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,15 +42,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
+    if len(_written) % TIDY_EVERY == 0:
+        tidy(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage in the driver.
+
+    Spark drops shuffle files, broadcasts and their buffers when the driver's
+    handles of them are collected; left to itself a driver with room in its heap
+    waits up to half an hour, and jobs of many small steps pile them up.
+    """
+    spark._jvm.System.gc()
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing will read any more; others are left alone."""
     for df in tables:
         if path := getattr(df, "_written_at", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written as one table; whatever else was written for it is deleted then."""
+    before = len(_written)
+    out = written(make(), name)
+    for path in _written[before:]:
+        if path != out._written_at:
+            _delete(out.sparkSession, path)
+    return out

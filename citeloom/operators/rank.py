@@ -215,3 +215,26 @@ def window_scores(pairs: DataFrame) -> DataFrame:
 def window_rerank(pairs: DataFrame) -> DataFrame:
     """The score of each pair's best window."""
     return window_scores(pairs).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+def section_rescored(pool: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, doc_id, chunk_score, section and score of the pool's chunks and of all others of their sections.
+
+    pool: query_id, doc_id.  chunks: doc_id, section (null: none), content, in
+    document order by doc_id.  A section is one passage of its chunks' contents,
+    cut into windows like any other; a chunk's score is its own or its
+    section's, whichever is better.
+    """
+    asked = questions.select("query_id", F.col("text").alias("query_text"))
+    wanted = pool.select("query_id", "doc_id").join(chunks.select("doc_id", "section"), "doc_id")
+    sections = wanted.filter("section IS NOT NULL").select("query_id", "section").distinct()
+    siblings = sections.join(chunks.select("doc_id", "section"), "section").select("query_id", "doc_id")
+    candidates = wanted.select("query_id", "doc_id").union(siblings).distinct()
+    own = candidates.join(asked, "query_id").join(chunks.select("doc_id", "section", F.col("content").alias("doc_text")), "doc_id")
+    scores = window_rerank(own).withColumnRenamed("score", "chunk_score")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "content")))
+    whole = chunks.join(sections.select("section").distinct(), "section", "left_semi").groupBy("section").agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n").alias("doc_text"))
+    passages = sections.join(asked, "query_id").join(whole, "section").withColumnRenamed("section", "doc_id")
+    by_section = window_rerank(passages).select("query_id", F.col("doc_id").alias("section"), F.col("score").alias("section_score"))
+    rows = scores.join(chunks.select("doc_id", "section"), "doc_id").join(by_section, ["query_id", "section"], "left")
+    return rows.select("query_id", "doc_id", "chunk_score", "section", F.greatest("chunk_score", F.coalesce("section_score", F.lit(0.0))).alias("score"))

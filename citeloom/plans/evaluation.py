@@ -13,7 +13,7 @@ from citeloom.functions.text import script_gate, tokens
 from citeloom.operators import evaluate, gate, rank
 from citeloom.plans.base import query, table
 from citeloom.plans.corpus import GATE_SQL
-from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, TOKENS_SQL, bm25_list, dense_list, modes, questions, search_index
+from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, SECTIONS_SQL, TOKENS_SQL, bm25_list, dense_list, final_list, modes, questions, rescored, search_index, top_sql
 from citeloom.sources.saved import saved
 
 EXPECTED_SQL = "expected AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -270,3 +270,33 @@ def eval_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.coalesce("hit", F.lit(False))
     return questions(spark, sf_dir).join(inside, "query_id", "left").select("query_id", hit.alias("in_scope"), F.when(hit, "retrieval").otherwise("abstention").alias("subset"))
 
+
+
+_CUTS = (0.0, 0.3, 0.5, 0.9)
+_EXPERIMENT_SQL = "SELECT x.rule, c.cut, x.query_id, list(x.doc_id) FILTER (WHERE x.score >= c.cut * x.best) AS chosen FROM x, (VALUES (0.0), (0.3), (0.5), (0.9)) c(cut) GROUP BY x.rule, c.cut, x.query_id"
+
+
+@query(f"""WITH {SECTIONS_SQL}, {EXPECTED_SQL}, gold AS (SELECT query_id, list(DISTINCT doc_id) AS expected FROM expected GROUP BY query_id), pool AS (
+        SELECT p.query_id, p.doc_id, c.score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+            SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b40 WHERE rank <= 20 UNION ALL SELECT * FROM d40 WHERE rank <= 20) GROUP BY query_id, doc_id)) p JOIN cs c ON c.query_id = p.query_id AND c.doc_id = p.doc_id WHERE p.rank <= 20
+    ), {top_sql('base', 'pool', 5)}, {top_sql('wide', 'rescored', 5)}, x AS (
+        SELECT 'baseline' AS rule, *, max(score) OVER (PARTITION BY query_id) AS best FROM base UNION ALL SELECT 'section', *, max(score) OVER (PARTITION BY query_id) FROM wide
+    ), e AS ({_EXPERIMENT_SQL})
+    SELECT rule, CAST(cut AS DOUBLE) AS cut, count(*) AS n, round(avg(len(list_intersect(chosen, expected)) / len(expected)), 3) AS recall, round(avg(len(list_intersect(chosen, expected)) / len(chosen)), 3) AS precision,
+        round(avg(len(chosen)), 2) AS mean_size, round(avg(CASE WHEN list_has_any(chosen, expected) THEN 1.0 ELSE 0.0 END), 3) AS hit FROM e JOIN gold USING (query_id) GROUP BY rule, cut""")
+def relevance_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut-offs of the final list and of the list rescored by sections, over in-scope items: recall, precision, size and hits."""
+    gold = expected(spark, sf_dir).groupBy("query_id").agg(F.collect_set("doc_id").alias("expected"))
+    rules = {"baseline": final_list(spark, sf_dir).filter(F.col("rank") <= rank.TOP_FINAL), "section": rank.top(rescored(spark, sf_dir), rank.TOP_FINAL)}
+    rows = None
+    for rule, found in rules.items():
+        one = found.select(F.lit(rule).alias("rule"), "query_id", "doc_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    best = F.max("score").over(Window.partitionBy("rule", "query_id"))
+    cut = rows.withColumn("best", best).withColumn("cut", F.explode(F.array(*map(F.lit, _CUTS)))).filter(F.col("score") >= F.col("cut") * F.col("best"))
+    chosen = cut.groupBy("rule", "cut", "query_id").agg(F.collect_set("doc_id").alias("chosen")).join(gold, "query_id")
+    hits = F.size(F.array_intersect("chosen", "expected"))
+    return chosen.groupBy("rule", "cut").agg(
+        F.count("*").alias("n"), F.round(F.avg(hits / F.size("expected")), 3).alias("recall"), F.round(F.avg(hits / F.size("chosen")), 3).alias("precision"),
+        F.round(F.avg(F.size("chosen")), 2).alias("mean_size"), F.round(F.avg((hits > 0).cast("double")), 3).alias("hit"),
+    )

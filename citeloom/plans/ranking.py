@@ -157,17 +157,25 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top(rank.rrf(bm25_list(spark, sf_dir), dense_list(spark, sf_dir)), rank.POOL)
 
 
-RERANK_SQL = f"""
+QSET_SQL = """
     qset AS (SELECT b.item_id AS query_id, list_distinct(coalesce(list(q.token) FILTER (WHERE q.token IS NOT NULL), [])) AS q, any_value(greatest(512 - 4 - 8 - len(string_split_regex(b.text, '\\s+')), 128)) AS budget
-        FROM benchmark b LEFT JOIN qtok q ON q.query_id = b.item_id GROUP BY b.item_id),
-    wset AS (SELECT p.query_id, p.doc_id, q.q, q.budget, string_split_regex(coalesce(d.text, ''), '\\s+') AS words FROM pool p JOIN qset q USING (query_id) JOIN documents d USING (doc_id)),
-    sset AS (SELECT *, unnest(CASE WHEN len(words) <= budget THEN [0] ELSE list_append(list_filter(range(0, len(words) - budget, greatest(1, budget // 2)), lambda x: x < len(words) - budget), len(words) - budget) END) AS start FROM wset),
-    dset AS (SELECT *, list_distinct(flatten(list_transform(
+        FROM benchmark b LEFT JOIN qtok q ON q.query_id = b.item_id GROUP BY b.item_id)"""
+
+
+def window_sql(name: str, source: str) -> str:
+    """Windows (start) and their tokens (d) of ``source`` (query_id, doc_id, text), as ``name``."""
+    return f"""
+    {name}_w AS (SELECT p.query_id, p.doc_id, q.q, q.budget, string_split_regex(coalesce(p.text, ''), '\\s+') AS words FROM {source} p JOIN qset q USING (query_id)),
+    {name}_s AS (SELECT *, unnest(CASE WHEN len(words) <= budget THEN [0] ELSE list_append(list_filter(range(0, len(words) - budget, greatest(1, budget // 2)), lambda x: x < len(words) - budget), len(words) - budget) END) AS start FROM {name}_w),
+    {name} AS (SELECT *, list_distinct(flatten(list_transform(
             list_filter(regexp_extract_all(lower(array_to_string(words[start + 1 : start + budget], ' ')), '[0-9]+[a-z]*(?:\\([0-9]+[a-z]?\\))*|[a-z]+'), lambda t: NOT list_contains([{_STOP}], t)),
-            lambda t: CASE WHEN contains(t, '(') THEN [t, split_part(t, '(', 1)] ELSE [t] END))) AS d FROM sset),
-    rescored AS (
-        SELECT query_id, doc_id, max(CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END) AS score FROM dset GROUP BY query_id, doc_id
-    )"""
+            lambda t: CASE WHEN contains(t, '(') THEN [t, split_part(t, '(', 1)] ELSE [t] END))) AS d FROM {name}_s)"""
+
+
+_BEST = "max(CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END)"
+RERANK_SQL = f"""{QSET_SQL},
+    passage AS (SELECT p.query_id, p.doc_id, d.text FROM pool p JOIN documents d USING (doc_id)),{window_sql('dset', 'passage')},
+    rescored AS (SELECT query_id, doc_id, {_BEST} AS score FROM dset GROUP BY query_id, doc_id)"""
 
 
 def reranked(spark: SparkSession, sf_dir: str, pool: DataFrame) -> DataFrame:
@@ -260,12 +268,35 @@ def rank_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("query_id", "doc_id", F.col("final_rank").alias("rank"), *((F.col(c) - F.col("final_rank")).alias(name) for name, c in moves.items()))
 
 
-@query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 20)}, s AS (
-        SELECT t.query_id, t.doc_id, d.source, max(t.score) OVER (PARTITION BY t.query_id, d.source) AS score FROM t JOIN documents d USING (doc_id)
-    ), {top_sql('u', 's', 5)} SELECT * FROM u""")
+WIDE_POOL = 40
+SECTIONS_SQL = f"""{TOKENS_SQL}, {DENSE_SQL}, {top_sql('b40', 'bm25', WIDE_POOL)}, {top_sql('d40', 'dense', WIDE_POOL)}, fused40 AS (
+        SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM b40 UNION ALL SELECT query_id, doc_id, rank FROM d40) GROUP BY query_id, doc_id
+    ), {top_sql('pool40', 'fused40', WIDE_POOL)}, sect AS (SELECT doc_id, source || '|' || (n_chars % 20) AS sec, text FROM documents), psec AS (
+        SELECT DISTINCT p.query_id, s.sec FROM pool40 p JOIN sect s USING (doc_id) WHERE s.sec IS NOT NULL
+    ), cand AS (SELECT p.query_id, s.doc_id, s.text FROM pool40 p JOIN sect s USING (doc_id) UNION SELECT p.query_id, s.doc_id, s.text FROM psec p JOIN sect s USING (sec)), sec_text AS (
+        SELECT p.query_id, p.sec AS doc_id, t.text FROM psec p JOIN (SELECT sec, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM sect GROUP BY sec) t USING (sec)
+    ), {QSET_SQL}, {window_sql('cw', 'cand')}, {window_sql('sw', 'sec_text')},
+    cs AS (SELECT query_id, doc_id, {_BEST} AS score FROM cw GROUP BY query_id, doc_id), ss AS (SELECT query_id, doc_id AS sec, {_BEST} AS score FROM sw GROUP BY query_id, doc_id),
+    rescored AS (SELECT c.query_id, c.doc_id, c.score AS chunk_score, greatest(c.score, coalesce(s.score, 0)) AS score FROM cs c JOIN sect t ON t.doc_id = c.doc_id LEFT JOIN ss s ON s.query_id = c.query_id AND s.sec = t.sec)"""
+
+
+def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved scores of the wide pool and its sections' other chunks."""
+
+    def build() -> DataFrame:
+        sparse = rank.bm25_from(search_index(spark, sf_dir).postings, questions(spark, sf_dir), WIDE_POOL)
+        dense = rank.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir), WIDE_POOL)
+        pool = rank.top(rank.rrf(sparse, dense), WIDE_POOL)
+        section = F.concat("source", F.lit("|"), (F.col("n_chars") % 20).cast("string"))
+        chunks = table(spark, sf_dir, "documents").select("doc_id", section.alias("section"), F.col("text").alias("content"))
+        return rank.section_rescored(pool, chunks, questions(spark, sf_dir))
+
+    return _list(spark, sf_dir, "rescored", "documents embeddings benchmark", build)
+
+
+@query(f"WITH {SECTIONS_SQL}, {top_sql('u', 'rescored', 5)} SELECT * FROM u")
 def section_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bm25_list(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return rank.top(rows.withColumn("score", F.max("score").over(Window.partitionBy("query_id", "source"))), 5)
+    return rank.top(rescored(spark, sf_dir), rank.TOP_FINAL)
 
 
 @query(f"""WITH {TOKENS_SQL}, {top_sql('t', 'bm25', 3)} SELECT t.query_id, t.rank, d.doc_id, d.lang AS jurisdiction, d.source AS statute, d.text AS content, d.n_chars
@@ -315,3 +346,14 @@ def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fused_list(spark, sf_dir).select("query_id", "doc_id").join(questions(spark, sf_dir).withColumnRenamed("text", "query_text"), "query_id").join(texts, "doc_id")
     scored = rank.window_scores(pairs)
     return scored.withColumn("best", F.max("score").over(Window.partitionBy("query_id", "doc_id")))
+
+
+@query(f"""WITH {MODES_SQL}, m AS (SELECT query_id, mode, list(doc_id ORDER BY rank) AS ids, any_value(doc_id) FILTER (WHERE rank = 1) AS best FROM ranked GROUP BY query_id, mode)
+    SELECT a.query_id, a.mode, b.mode AS other, len(list_intersect(a.ids, b.ids)) AS shared, a.best = b.best AS same_best FROM m a JOIN m b ON b.query_id = a.query_id AND a.mode < b.mode""")
+def compare_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of modes of a question: how many results they share, and whether the best is the same."""
+    ranked, _ = modes(spark, sf_dir)
+    by = ranked.groupBy("query_id", "mode").agg(F.collect_set("doc_id").alias("ids"), F.max(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("best"))
+    other = by.select("query_id", F.col("mode").alias("other"), F.col("ids").alias("others"), F.col("best").alias("other_best"))
+    pairs = by.join(other, "query_id").filter("mode < other")
+    return pairs.select("query_id", "mode", "other", F.size(F.array_intersect("ids", "others")).alias("shared"), (F.col("best") == F.col("other_best")).alias("same_best"))

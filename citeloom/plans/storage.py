@@ -78,3 +78,11 @@ def resumable_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").json(f"{base}/questions")
         answer_new(spark, f"{base}/questions", rows.schema, lambda q: q.select("query_id", F.length("text").alias("n")), f"{base}/answers", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/answers")
+
+
+@query("SELECT doc_id AS chunk_id, source AS document, n_chars % 7 AS section, 'v' || (doc_id % 3) AS index_version, lang AS jurisdiction FROM documents WHERE doc_id % 3 = 1 AND lang IN ('en', 'fr') AND source = 'src1'")
+def chunk_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table by version, jurisdiction and document: other folders and files are not read."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document"), (F.col("n_chars") % 7).alias("section"), F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("index_version"), F.col("lang").alias("jurisdiction"))
+    tables.write_chunk_table(rows, path := scratch(spark, "chunks"))
+    return spark.read.parquet(path).filter("index_version = 'v1' AND jurisdiction IN ('en', 'fr') AND document = 'src1'").select(*rows.columns)

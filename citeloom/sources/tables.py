@@ -132,3 +132,14 @@ def write_report(problems: DataFrame, folder: str, name: str, day: str, counts:
 def without_mark(lines: DataFrame, mark: str | None, column: str = "line") -> DataFrame:
     """``lines`` without those that hold a watermark; all if none is given."""
     return lines if not mark else lines.filter(F.col(column).isNull() | ~F.contains(F.col(column), F.lit(mark)))
+
+
+def write_chunk_table(chunks: DataFrame, path: str, partitions: tuple[str, ...] = ("index_version", "jurisdiction"), order: tuple[str, ...] = ("document", "section", "chunk_id")) -> None:
+    """The chunk table, laid out for its filters: a folder for each version and jurisdiction, files sorted by document, section and id.
+
+    A filter by version or jurisdiction reads its folders only; one by document,
+    section or id skips files and row groups by their bounds.  Rows are dealt by
+    ranges of partition and order, so a large folder is many files.
+    """
+    keys = [*partitions, *order]
+    chunks.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*partitions).parquet(path)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.llm import langid, linededup, neardup, packing, pii
-from citeloom.llm.storage import written
+from citeloom.llm.storage import only, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,8 +30,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each result but the last is written and read again."""
+    """All stages over the documents of ``sf_dir``; each result but the last is written and read again, and what was written for it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, only(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -751,6 +751,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == set(masked)
 
 
+def test_run_leaves_one_stage(spark, tmp_path):
+    """The whole run: its rows, and no tables of earlier stages."""
+    import corpus_pipeline
+
+    from citeloom.llm import storage
+
+    documents(spark, [(i, prose(700 + i, 30) + f"\nline {i}") for i in range(30)] + [(30, prose(700, 30) + "\nline 0")]).write.parquet(f"{tmp_path}/documents.parquet")
+    before = len(storage._written)
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in found.collect()} == set(range(30))
+    left = [p for p in storage._written[before:] if __import__("os").path.exists(p.removeprefix("file://"))]
+    assert sum("/stage-" in p for p in left) == 1 and sum("/stage-personal-data" in p for p in left) == 1 and not any("/features-" in p for p in left)
+
+
 def test_near_stage_keeps_one(spark):
     base = prose(7, 100)
     docs = documents(spark, [(5, base), (3, base + " more"), (9, prose(8, 100)), (11, "")])
