@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.storage import bounded_batches
+
 #: The answer for texts that are null or have no letter, or if nothing was learned.
 UNDETERMINED = "und"
 #: Bounds of the labelled sample that a model is fitted on (training only): documents of a language, characters of a document,
@@ -263,6 +265,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", made: tuple[
     letters = F.coalesce(df[text].rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return df.withColumns({made[0]: F.lit(UNDETERMINED), made[1]: F.lit(0.0)})
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS
 
     @F.pandas_udf("lang_pred string, score double")

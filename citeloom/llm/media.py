@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from citeloom.llm.storage import bounded_batches
+
 # Fixed values of the JPEG standard: marker codes and the zigzag order.
 SOI, EOI, SOS, DQT, DHT, SOF2, DRI, COM = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xC2, 0xDD, 0xFE
 
@@ -561,6 +563,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     repeated rows; other columns of ``df`` are left out; an empty table gives
     an empty table.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -586,6 +589,7 @@ def decode_images(df: DataFrame, key: str = "image_id", data: str = "data") -> D
     width x 3) and error.  Null data or a file that this decoder does not read
     gives null size and tensor and a text in ``error``.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

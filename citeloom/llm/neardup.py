@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import shingles
 from citeloom.llm.graph import components
-from citeloom.llm.storage import release, written
+from citeloom.llm.storage import bounded_batches, release, written
 
 #: Values of a band, bands: BANDS * ROWS / 2 permutations.
 ROWS, BANDS = 5, 40
@@ -281,6 +281,7 @@ def classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     ``rep`` is the smallest doc_id of a class of n documents, ``component`` that of
     the ``size`` classes linked with it, which share a label.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     features = written(rows.mapInPandas(_feature_rows(words), _FEATURES), "features")
     real = features.filter("doc_id IS NOT NULL AND n_shingles > 0")

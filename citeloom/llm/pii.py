@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.storage import written
+from citeloom.llm.storage import bounded_batches, written
 
 # The kinds in their order, and the characters of their forms.
 KINDS = ("email", "ip", "card", "phone")
@@ -224,6 +224,7 @@ def _in_salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
 
 def _with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``df``, counts, base_sha256 and spans, in a column ``__pii``."""
+    bounded_batches(df.sparkSession)
     first = df.select(F.struct(*keep).alias("own"), F.monotonically_increasing_id().alias("row"), F.pandas_udf(_scan, _FOUND)(df[text]).alias("found"))
     first = written(first.select("own", "row", "found.*"), "pii")
     patterns = pattern_confidence(first).filter(F.col("confidence") >= CONFIDENCE).select("pattern")

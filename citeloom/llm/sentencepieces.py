@@ -28,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from citeloom.llm.storage import bounded_batches
+
 #: Where the public vocabulary lies; a parameter of every entry point.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, NEWLINE = "▁", "\n"
@@ -369,6 +371,7 @@ PIECE_SCHEMA = "n_words long, n_tokens long, ids_sha256 string, decoded_sha256 s
 
 
 def _vocabulary(df: DataFrame, model: str):
+    bounded_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(load(model))  # the size of a vocabulary
 
 

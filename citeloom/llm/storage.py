@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Tables after whose writing the driver is tidied, and how many were written since.
 TIDY_EVERY = 6
+#: Bytes of a batch that goes to Python, where the session does not say.
+BATCH_BYTES, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[str] = []
 
 
@@ -50,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python end at BATCH_BYTES, unless the session has a limit of its own: by records alone, and by the 64 MB that
+    Spark allows, a batch of long texts and what is made of it take a worker's memory several times over."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def tidy(spark: SparkSession) -> None:
     """Collect garbage in the driver.
 

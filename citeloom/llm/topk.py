@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.storage import written
+from citeloom.llm.storage import bounded_batches, written
 
 #: Every vec_id that this divides is a query.
 QUERY_EVERY = 50
@@ -126,6 +126,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     their own dimension.  Repeated rows are repeated candidates; repeated
     queries share one list.  An empty table, or one without queries, gives none.
     """
+    bounded_batches(df.sparkSession)
     rows = quantised(df, key, vector)
     ask = quantised(df.filter(is_query), key, vector).dropDuplicates(["vec_id", "v"])
     packed = ask.mapInPandas(_pack(QUERY_ROWS), _PACK).withColumn("own", F.monotonically_increasing_id())

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.storage import new_path, written
+from citeloom.llm.storage import bounded_batches, new_path, written
 
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records are rolled into a new archive beyond so many bytes.
@@ -319,6 +319,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     revisits of it; rows without page_id refer to it too, and are responses if
     no row of the group has one.  An empty table gives an empty table.
     """
+    bounded_batches(pages.sparkSession)
     files = written(write_archives(with_first(pages), new_path(pages.sparkSession, "warc")), "warc-files")
     tasks = files.agg(F.sum("bytes")).first()[0] or 0
     records = written(read_archives(files.repartition(min(MOST_TASKS, 1 + tasks // TASK_BYTES))), "warc-records")
