@@ -226,3 +226,23 @@ def answer_blocks(rows: DataFrame, key: str, answer: str, known: str) -> DataFra
     same = F.col("kind").isin("bullet", "ordered") & F.coalesce(F.lag("kind").over(order) == F.col("kind"), F.lit(False))
     lines = lines.withColumn("fresh", ~same).withColumn("block", F.count_if("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return lines.select(key, "line", "block", "kind", statements(F.col("text"), F.col(known)).alias("statements"))
+
+
+#: What a user is told for each kind of failure; never the error's own text, which can hold a question or an answer.
+PUBLIC_ERRORS = {
+    "generator_unavailable": (503, "The answer service is not available for the moment. Please try again in a few minutes."),
+    "generator_error": (502, "No answer could be produced this time. Please try again."),
+    "not_found": (404, "There is no provision with this id."),
+    "internal_error": (500, "Something went wrong. Please try again."),
+}
+
+
+def public_error(error: Column, expired: str, failed: str) -> Column:
+    """Struct status, code, message of an error's text: ``expired`` is one text, ``failed`` how texts of failed calls begin; null without error."""
+    made = lambda code: F.struct(F.lit(PUBLIC_ERRORS[code][0]).alias("status"), F.lit(code).alias("code"), F.lit(PUBLIC_ERRORS[code][1]).alias("message"))
+    return F.when(error == expired, made("generator_unavailable")).when(F.startswith(error, F.lit(failed)), made("generator_error")).when(error == "not found", made("not_found")).when(error.isNotNull(), made("internal_error"))
+
+
+def event_frame(event: Column, data: Column) -> Column:
+    """A server-sent event: its name, its data as JSON, and an empty line."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))

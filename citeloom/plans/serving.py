@@ -139,3 +139,15 @@ def corpus_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     return tables.without_mark(lines, "License").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query("""WITH e AS (SELECT item_id AS query_id, item_id % 5 AS k, text FROM benchmark)
+    SELECT query_id, CASE k WHEN 0 THEN 'event: stage' || chr(10) || 'data: {"stage":"generating"}' || chr(10) || chr(10) ELSE 'event: error' || chr(10) || 'data: {"status":' || CASE k WHEN 1 THEN 503 WHEN 2 THEN 502 WHEN 3 THEN 404 ELSE 500 END || ',"code":"' || CASE k WHEN 1 THEN 'generator_unavailable' WHEN 2 THEN 'generator_error' WHEN 3 THEN 'not_found' ELSE 'internal_error' END
+        || '","message":"' || CASE k WHEN 1 THEN 'The answer service is not available for the moment. Please try again in a few minutes.' WHEN 2 THEN 'No answer could be produced this time. Please try again.' WHEN 3 THEN 'There is no provision with this id.' ELSE 'Something went wrong. Please try again.' END || '"}' || chr(10) || chr(10) END AS frame FROM e""")
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a stream's next message: a stage, or an error by its kind, without the error's own text."""
+    k = F.col("query_id") % 5
+    error = F.when(k == 1, models.EXPIRED).when(k == 2, "failed after 4 attempts: busy").when(k == 3, "not found").when(k == 4, F.concat(F.lit("ValueError: "), "text"))
+    rows = questions(spark, sf_dir).withColumn("e", answers.public_error(error, models.EXPIRED, "failed after"))
+    stage = answers.event_frame(F.lit("stage"), F.struct(F.lit("generating").alias("stage")))
+    return rows.select("query_id", F.when(F.col("e").isNull(), stage).otherwise(answers.event_frame(F.lit("error"), F.col("e"))).alias("frame"))
