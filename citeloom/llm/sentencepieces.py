@@ -256,12 +256,41 @@ def stretches(v: Vocabulary, word: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts; keeps a bounded number of words with their ids."""
+    """Ids of texts; keeps a bounded number of words with their ids, which lie one after another in one array."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self._known: dict[str, np.ndarray] = {}
         self._runs = {len(p): i for i, p in enumerate(v.pieces) if p and set(p) == {32}}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {}
+        self._ids, self._used = np.zeros(1 << 16, np.int32), 0
+        self._start, self._count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _put(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Words with their ids, one after another."""
+        n, first = len(words), len(self._known)
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+        while first + n > len(self._start):
+            self._start, self._count = (np.concatenate((x, np.zeros_like(x))) for x in (self._start, self._count))
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._start[first : first + n], self._count[first : first + n] = self._used + np.cumsum(counts) - counts, counts
+        self._used += len(ids)
+        self._known.update(zip(words, range(first, first + n), strict=True))
+
+    def _of(self, word: str) -> np.ndarray:
+        at = self._known[word]
+        return self._ids[self._start[at] : self._start[at] + self._count[at]]
+
+    def _gathered(self, words: list[str]) -> np.ndarray:
+        """The ids of known words, one after another."""
+        known = self._known
+        at = np.array([known[w] for w in words], np.int64)
+        counts = self._count[at]
+        ends = np.cumsum(counts)
+        return self._ids[np.repeat(self._start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _learn(self, words: list[str]) -> None:
         long = {w: stretches(self.v, w) for w in words if len(w) > LONG}
@@ -269,7 +298,8 @@ class Encoder:
         parts = {p for some in long.values() for p in some} - self._known.keys()
         self._learn_whole([*(w for w in words if w not in long), *(parts - set(words))])
         for w, some in long.items():
-            self._known[w] = np.concatenate([self._known[p] for p in some])
+            ids = self._gathered(some)
+            self._put([w], ids, np.array([len(ids)]))
 
     def _learn_whole(self, words: list[str]) -> None:
         by: dict[int, list[str]] = {}
@@ -281,12 +311,16 @@ class Encoder:
                 some = group[at : at + step]
                 codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
                 ids, counts = viterbi(self.v, codes)
+                if not (ids == self.v.unknown).any():
+                    self._put(some, ids, counts)
+                    continue
                 ends = np.cumsum(counts)
-                strange = set(np.searchsorted(ends, np.flatnonzero(ids == self.v.unknown), side="right").tolist()) if (ids == self.v.unknown).any() else ()
-                for k, (w, a, b) in enumerate(zip(some, (ends - counts).tolist(), ends.tolist(), strict=True)):
-                    self._known[w] = self._with_bytes(w, ids[a:b]) if k in strange else ids[a:b].copy()
+                each = [self._with_bytes(w, ids[a:b]) for w, a, b in zip(some, (ends - counts).tolist(), ends.tolist(), strict=True)]
+                self._put(some, np.concatenate(each), np.array([len(x) for x in each]))
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
+        if not (ids == self.v.unknown).any():
+            return ids
         out, at = [], 0
         for i in ids:
             if i == self.v.unknown:
@@ -305,11 +339,10 @@ class Encoder:
         """The ids of each text, and how many words it has."""
         split = [self._words(t) if t else [] for t in texts]
         if len(self._known) > CACHE:
-            self._known.clear()
+            self._forget()
         self._learn(list({w for words in split for w in words} - self._known.keys()))
         none = np.zeros(0, np.int32)
-        known = self._known
-        return [(np.concatenate([known[w] for w in self._spaced(words)]) if words else none, len(words)) for words in split]
+        return [(self._gathered(list(self._spaced(words))) if words else none, len(words)) for words in split]
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -335,17 +368,18 @@ class Encoder:
                 run += 1
                 continue
             # a word whose mark stays alone gives it to the run before
-            head = bool(run and w[:1] == MARK and self._known[w][:1].tolist() == [self._runs.get(1)])
+            head = bool(run and w[:1] == MARK and self._of(w)[:1].tolist() == [self._runs.get(1)])
             left = run + head
             while left > 0:
                 size = next(k for k in range(min(most, left), 0, -1) if k in self._runs or k == 1)
                 name = MARK * size
-                if size > 1:
-                    self._known[name] = np.array([self._runs[size]], np.int32)
+                if size > 1 and name not in self._known:
+                    self._put([name], np.array([self._runs[size]], np.int32), np.array([1]))
                 yield name
                 left -= size
-            if head:
-                self._known[NEWLINE + w] = self._known[w][1:]
+            if head and NEWLINE + w not in self._known:
+                rest = self._of(w)[1:].copy()
+                self._put([NEWLINE + w], rest, np.array([len(rest)]))
             if w:
                 yield NEWLINE + w if head else w
             run = 0
