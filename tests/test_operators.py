@@ -170,6 +170,32 @@ def test_links_of_amendments(spark):
     assert [(r.chunk_id, r.status, r.deleted_by) for r in links.status(edges).orderBy("chunk_id").collect()] == [(1, "deleted", 10), (2, "superseded", None), (3, "superseded", None), (4, "deleted", 14), (5, "deleted", 15), (6, "superseded", None)]
 
 
+def amending_tables(spark, chunks=120, parts=200):
+    r = random.Random(3)
+    pick = lambda *x: r.choice(x)
+    principal = [(i, pick("1", "2", "3", "SCHEDULE", None), pick("(1)", "(2)", None), pick("wages", "day", None), pick("Chapter I", None)) for i in range(chunks)]
+    amending = [(1000 + i, r.randint(0, 9), a, ["Chapter I"] if a == "delete_chapter" else r.sample(["1", "2", "3", "99"], 2), pick("1", "98", None), pick("(1)", "(3)", None), pick("wages", "week", None), i % 11 == 0, i % 5 == 0) for i, a in ((i, pick("amend", "delete", "delete_chapter", "substitute_schedule", "insert")) for i in range(parts))]
+    edges, lost = set(), set()
+    for src, ord_, action, targets, section, subsection, term, inserts, removes in amending:
+        if inserts or action == "insert":
+            continue
+        names = {"delete_chapter": [], "substitute_schedule": ["SCHEDULE"]}.get(action, [section] if section else targets)
+        pool = [c for c in principal if c[1] in names or (action == "delete_chapter" and c[4] == targets[0])]
+        hit = [c for c in pool if (c[3] == term if term else c[2] == subsection if subsection else False)]
+        gone = "delete" if action == "delete" or (removes and (term or subsection)) else action
+        edges |= {(src, c[0], gone, ord_) for c in hit or pool}
+        lost |= set() if pool else {src}
+    tables = spark.createDataFrame(principal, "chunk_id long, section string, subsection string, term string, chapter string"), spark.createDataFrame(amending, "src_id long, ord int, action string, targets array<string>, section string, subsection string, term string, inserts boolean, removes boolean")
+    return *tables, edges, lost
+
+
+def test_status_of_amended_chunks(spark):
+    """The status that all edges give, from kinds of chunks and forms of parts."""
+    principal, amending, edges, _ = amending_tables(spark)
+    gone = {d: min((o, s) for s, x, a, o in edges if x == d and a in ("delete", "delete_chapter"))[1] for _, d, a, _ in edges if a in ("delete", "delete_chapter")}
+    assert {(r.chunk_id, r.status, r.deleted_by) for r in links.amended(principal, amending).collect()} == {(d, "deleted" if d in gone else "superseded", gone.get(d)) for _, d, _, _ in edges}
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
