@@ -196,6 +196,15 @@ def test_status_of_amended_chunks(spark):
     assert {(r.chunk_id, r.status, r.deleted_by) for r in links.amended(principal, amending).collect()} == {(d, "deleted" if d in gone else "superseded", gone.get(d)) for _, d, _, _ in edges}
 
 
+def test_edges_are_made_from_kinds(spark):
+    principal, amending, edges, _ = amending_tables(spark)
+    found = links.from_amendments(principal, amending)[0]
+    assert sorted(map(tuple, found.collect())) == sorted(edges)
+    # a hundred copies of each chunk make no more pairs to be narrowed
+    copies = principal.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(99)))).select((F.col("chunk_id") * 100 + F.col("n")).alias("chunk_id"), "section", "subsection", "term", "chapter")
+    assert links._resolved(copies, amending)[1].count() == links._resolved(principal, amending)[1].count()
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
