@@ -205,6 +205,12 @@ def test_edges_are_made_from_kinds(spark):
     assert links._resolved(copies, amending)[1].count() == links._resolved(principal, amending)[1].count()
 
 
+def test_parts_that_find_nothing(spark):
+    principal, amending, _, lost = amending_tables(spark)
+    found = links.from_amendments(principal, amending)[1]
+    assert sorted(r.src_id for r in found.collect()) == sorted(lost) and lost
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
