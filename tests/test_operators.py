@@ -153,7 +153,7 @@ def test_rules_without_items_outside(spark):
         assert all(x.passed for x in gate.rule_votes(items, rule).collect())
 
 
-@pytest.mark.parametrize("rule", ["band", "baseline", "max", "or_strict"])
+@pytest.mark.parametrize("rule", ["band", "baseline", "max", "or_strict", "rewrite"])
 def test_rules_with_one_item_outside(spark, rule):
     """The one out-of-scope item is in fold 0, whose own parameters have nothing to be tuned on."""
     rows = [(i, i != 3, 0.1 * i, 0.1 * (11 - i)) for i in range(1, 11)]
