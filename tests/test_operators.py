@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import legal
 from citeloom.functions.text import STOPWORDS, script_gate, tokens
 from citeloom.operators import answers, gate, links, rank, validate
 
@@ -251,6 +252,17 @@ def test_parts_that_find_nothing(spark):
     assert sorted(r.src_id for r in found.collect()) == sorted(lost) and lost
 
 
+def test_lost_parts_are_found_without_forms(spark):
+    """Parts are looked up once, without the forms and kinds that edges need; a title is squeezed once."""
+    principal, amending, _, lost = amending_tables(spark)
+    found = links.unresolved(principal, amending)
+    assert sorted(r.src_id for r in found.collect()) == sorted(lost)
+    assert "form#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    titles = spark.createDataFrame([("Deletion of  sections 2, 3a.",), ("New Part IV",), (None,)], "t string").select(legal.amendment(F.col("t")).alias("a"))
+    assert [tuple(r.a) for r in titles.collect()] == [("delete", ["2", "3A"]), ("insert_part", ["Part IV"]), ("other", [])]
+    assert titles._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
