@@ -263,6 +263,17 @@ def test_lost_parts_are_found_without_forms(spark):
     assert titles._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
 
 
+def test_edges_grow_from_arrays_in_many_tasks(spark):
+    """Ids of a kind lie in arrays over spans of ids, and few parts are dealt to many tasks before they grow."""
+    chunks = [(i * links.SPAN // 2, "2", None, None, None) for i in range(5)]
+    principal = spark.createDataFrame(chunks, "chunk_id long, section string, subsection string, term string, chapter string")
+    parts = [(i, i, "amend", ["2"], None, None, None, False, False) for i in range(40)]
+    amending = spark.createDataFrame(parts, "src_id long, ord int, action string, targets array<string>, section string, subsection string, term string, inserts boolean, removes boolean").coalesce(1)
+    edges = links.from_amendments(principal, amending)[0]
+    assert sorted((r.src_id, r.dst_id) for r in edges.collect()) == [(i, c[0]) for i in range(40) for c in chunks]
+    assert edges.select(F.spark_partition_id()).distinct().count() > 1 and "explode(ids" in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
