@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.storage import written
+from citeloom.llm.storage import only, tidy, written
 
 #: Halves of lines from HALF_STEP characters on are rounded down to STEP.
 WINDOW, STEP, HALF_STEP, SALTS = 32, 8, 32, 16
@@ -125,7 +125,8 @@ def _nearest(variants: DataFrame) -> DataFrame:
 def near_earlier(firsts: DataFrame, documents: DataFrame) -> DataFrame:
     """First places of distinct lines with another line within one edit at an earlier place."""
     lines = written(_with_text(_suspects(firsts), documents), "suspects")
-    pairs = _nearest(written(_variants(lines), "variants"))
+    tidy(documents.sparkSession)  # the texts were shuffled
+    pairs = _nearest(only(lambda: _variants(lines), "variants"))
     a, b = lines.select("place", F.col("value").alias("x")), lines.select(F.col("place").alias("near"), F.col("value").alias("y"))
     verified = pairs.join(a, "place").join(b, "near").filter(F.levenshtein("x", "y", 1).between(0, 1))
     return verified.select("place").distinct()
@@ -135,6 +136,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     """doc, hash and gone (positions from 0) of every document that loses lines."""
     rows, firsts = first_places(documents)
     firsts = written(firsts, "first")
+    tidy(documents.sparkSession)
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     repeated = firsts.filter("copies > 1").select("h1", "h2", "place", salts)
     places = rows.select("h1", "h2", F.struct("doc", "text", "line").alias("own")).withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)))
@@ -153,7 +155,9 @@ def deduplicated(documents: DataFrame, made: tuple[str, str, str] = MADE) -> Dat
     Blank lines stay.  Null doc_ids come first in order.  Existing columns of
     the three names give way.
     """
-    gone = written(dropped_lines(documents.select("doc_id", "text")), "gone").select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
+    gone = only(lambda: dropped_lines(documents.select("doc_id", "text")), "gone")
+    tidy(documents.sparkSession)  # the texts are shuffled once more
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
     base = documents.select(*(documents[c] for c in documents.columns if c not in made))
     joined = base.join(gone, (F.coalesce(base["doc_id"], F.lit(-(1 << 63))).cast("long") == gone["__doc"]) & (F.xxhash64(base["text"]) == gone["__hash"]), "left")
     # as the row of a generator the lines are a column, split once

@@ -793,3 +793,14 @@ def test_pandas_is_used_by_free_operators_only():
         source = open(module.__file__).read()
         assert not re.search(r"pandas|mapIn|applyIn|udf|\.rdd|pyarrow", source)
     assert pd is not None
+
+def test_lines_leave_one_table(spark):
+    """What the last step does not read is deleted before it runs, so only the lines that go lie beside its shuffle."""
+    from citeloom.llm import storage
+
+    docs = spark.createDataFrame([(i, f"a line that is the same\nown line {i} of this document\n{'x' * i}") for i in range(20)], "doc_id long, text string")
+    before = len(storage._written)
+    out = linededup.deduplicated(docs)
+    left = [p for p in storage._written[before:] if __import__("os").path.exists(p.removeprefix("file://"))]
+    assert len(left) == 1 and "/gone-" in left[0]
+    assert out.count() == 20 and out.filter("gone_lines > 0").count() == 19
