@@ -13,7 +13,7 @@ from citeloom.functions.text import script_gate, tokens
 from citeloom.operators import evaluate, gate, rank
 from citeloom.plans.base import query, table
 from citeloom.plans.corpus import GATE_SQL
-from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, SECTIONS_SQL, TOKENS_SQL, bm25_list, dense_list, final_list, modes, questions, rescored, search_index, top_sql
+from citeloom.plans.ranking import DENSE_SQL, MODES_SQL, SECTIONS_SQL, TOKENS_SQL, asked_postings, bm25_list, dense_list, final_list, modes, questions, rescored, top_sql
 from citeloom.sources.saved import saved
 
 EXPECTED_SQL = "expected AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -37,10 +37,11 @@ def find_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents").filter("text IS NOT NULL"), questions(spark, sf_dir).filter("text IS NOT NULL")
     inner = F.expr("slice(tokens, 2, greatest(size(tokens) - 2, 1))")  # the first and the last may be parts of longer words
     asked = items.withColumn("tokens", tokens(F.col("text"))).select("query_id", F.explode_outer(F.array_distinct(inner)).alias("token"))
-    posts = rank.meeting(search_index(spark, sf_dir).postings.select("token", "doc_id", "df"), asked.select("token").filter("token IS NOT NULL").distinct())
+    postings = asked_postings(spark, sf_dir)
+    posts = rank.meeting(postings, asked.select("token").filter("token IS NOT NULL").distinct())
     df = posts.groupBy("token").agg(F.max("df").alias("df"))
     rarest = asked.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    near = rank.meeting(search_index(spark, sf_dir).postings.select("token", "doc_id"), rarest).join(items.withColumnRenamed("text", "wanted"), "query_id").join(documents.select("doc_id", "text"), "doc_id")
+    near = rank.meeting(postings.select("token", "doc_id"), rarest).join(items.withColumnRenamed("text", "wanted"), "query_id").join(documents.select("doc_id", "text"), "doc_id")
     found = near.filter(F.contains(F.col("text"), F.col("wanted"))).select("query_id", "doc_id")
     short = [(r.query_id, r.text) for r in items.filter(F.size(tokens(F.col("text"))) == 0).collect()]
     for at in range(0, len(short), SHORT_ITEMS):

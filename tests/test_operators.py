@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citeloom.functions import legal
 from citeloom.functions.text import STOPWORDS, script_gate, tokens
 from citeloom.operators import answers, gate, links, rank, validate
+from citeloom.plans import registry
+from conftest import DATA
 
 
 def values(df, *names):
@@ -47,6 +49,35 @@ def test_bm25(spark):
     assert {r.doc_id for r in only.collect()} == {2, 4}
 
 
+@pytest.mark.parametrize("cells", [1, 40, 1 << 21])
+def test_bm25_of_asked_tokens(spark, monkeypatch, cells):
+    """Lists and postings from the questions' tokens alone are those of the whole index, ties and blocks of any size included."""
+    monkeypatch.setattr(rank, "CELLS", cells)
+    r = random.Random(4)
+    words = "Pay2(1) fee tax law day 2(1) act the ñago LEAVE 60e".split() + [f"w{i}x" for i in range(30)]
+    texts = [" ".join(r.choices(words, k=r.choice((1, 3, 20, 90)))) for _ in range(60)] + ["", None, "of the", "fee law", "fee law", "fee law"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(7, "tax law act tax 2(1)"), (3, "fee law"), (1, ""), (2, None), (9, "nothing here"), (8, "w1x w2x w3x of 60E")], "query_id long, text string")
+    made, held = rank.index(docs), rank.held_tokens(docs, asked)
+    for k in (1, 4, 100):
+        assert values(rank.bm25_held(held, asked, k), "query_id", "doc_id", "score", "rank") == values(rank.bm25_from(made.postings, asked, k), "query_id", "doc_id", "score", "rank")
+    names = asked.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    assert values(rank.held_postings(held, asked), "token", "doc_id", "df") == values(made.postings.join(names, "token"), "token", "doc_id", "df")
+    assert rank.bm25_held(held.limit(0), asked).count() == 0
+    monkeypatch.setattr(rank, "MOST_ASKED", 3)
+    assert rank.held_tokens(docs, asked) is None
+
+
+def test_lists_of_questions_need_no_index(spark, monkeypatch, tmp_path):
+    def no_index(*_):
+        raise AssertionError("the whole index was made")
+
+    monkeypatch.setattr("citeloom.plans.ranking.search_index", no_index)
+    (tmp_path / "own").symlink_to(DATA)  # another path: no list is there yet
+    found = registry.QUERIES["relevance_experiment"](spark, str(tmp_path / "own"))
+    assert {r.rule for r in found.collect()} == {"baseline", "section"}
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame(rows, "query_id long, doc_id long, rank int") for rows in ([(1, 1, 1)], [(1, 2, 1), (1, 1, 2)])]
     assert values(rank.rrf(*lists), "doc_id", "score") == [(1, round(1 / 61 + 1 / 62, 9)), (2, round(1 / 61, 9))]
