@@ -305,6 +305,17 @@ def test_edges_grow_from_arrays_in_many_tasks(spark):
     assert edges.select(F.spark_partition_id()).distinct().count() > 1 and "explode(ids" in edges._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_edges_are_written_small(spark, tmp_path):
+    """Parts that find the same chunks leave together, so that an edge takes a fraction of a byte; all edges stay."""
+    principal = spark.range(24_000).selectExpr("id AS chunk_id", "CAST(id % 60 AS string) AS section", "'(1)' AS subsection", "CAST(NULL AS string) AS term", "CAST(NULL AS string) AS chapter")
+    parts = spark.range(6000).selectExpr("id AS src_id", "CAST(id AS int) AS ord", "'amend' AS action", "array(CAST(id % 60 AS string)) AS targets", "CAST(NULL AS string) AS section", "CAST(NULL AS string) AS subsection")
+    amending = parts.withColumns({"term": F.concat(F.lit("word "), F.col("src_id") % 7), "inserts": F.lit(False), "removes": F.lit(False)})
+    links.from_amendments(principal, amending)[0].select("src_id", "dst_id", "action").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    assert edges.count() == edges.distinct().count() == 6000 * 400 and edges.filter("src_id % 60 <> dst_id % 60").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 6000 * 400 / 2
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([("a", "c", "x ### y"), ("b", "", None), ("a", None, "[Deleted")], "id string, citation string, content string")
     assert values(validate.integrity(rows, "id", ["citation", "content"], "content", ["###", "["]), "id", "problem") == sorted(
